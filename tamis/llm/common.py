@@ -110,6 +110,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = Stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(rounds):
+        if e.df.isEmpty():
+            break
         both = e.df.unionByName(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = e.df.select(F.col("u"), F.col("v")).join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))

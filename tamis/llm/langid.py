@@ -134,11 +134,12 @@ def identify(df: DataFrame, langs: list[str], logs: np.ndarray, text: str, keep:
     tune(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(logs)
     types = dict(df.dtypes)
-    rows = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("t"))
+    at = keep.index(text) if text in keep else len(keep)
+    rows = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], *([] if text in keep else [df[text].alias("t")]))
     schema = ", ".join([*(f"k{i} {types[c]}" for i, c in enumerate(keep)), "p string, s double, m map<string,double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, column in texts(batches, len(keep)):
+        for batch, column in texts(batches, at):
             got = infer(column, model.value) if langs else [None] * len(column)
             top = [None if t is None else int(t.argmax()) for t in got]
             yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mix, quality, shard
+from . import ann, bpe, langid, license, minhash, mix, quality, shard, suffix, vecdup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.plan(docs).select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, words=2, similarity=0.8)
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return shard.shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -32,6 +41,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = langid.key_mod(F.col("doc_id"), 5) == 0
@@ -40,6 +55,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def licence_paths(docs: DataFrame) -> DataFrame:
+    """documents as files of a tree: source/<ten thousands>/<thousands>/<hundreds>/<doc_id>.txt; of every ten documents one is a licence file, in one of the
+    upper directories of its own path by its number."""
+    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    depth = (F.floor(F.col("doc_id") / 10) % 4 + 1).cast("int")
+    dirs = F.array(F.coalesce("source", F.lit("unknown")), part(10_000), part(1000), part(100))
+    file = F.concat(F.array_join(dirs, "/"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    notice = F.concat(F.array_join(F.slice(dirs, F.lit(1), depth), "/"), F.lit("/LICENSE-"), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", "text", F.when(F.col("doc_id") % 10 == 0, notice).otherwise(file).alias("path"))
+
+
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return license.scan(licence_paths(docs))
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def vocabulary() -> str:
     """Where the public tokenizers' package keeps the vocabulary."""
     import public_tokenizers
@@ -54,7 +89,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op4_shard, op5_language, op7_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_mix, op2_minhash, op3_neighbours, op4_shard, op5_language, op6_repeats, op7_quality, op8_license, op9_vectors, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
