@@ -141,9 +141,9 @@ def refine(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return np.unique(pair, return_inverse=True)[1]
 
 
-def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, keep: list[str] | None = None) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """(key, the columns keep, n_bytes, spans, kept) for each row: the removed runs of bytes as array of struct of start and end (end
-    excluded, byte offsets in the text) and the bytes that are left, as binary.
+    excluded, byte offsets in the text) and the bytes that are left, as binary; as_text: as string, without the characters of which a part went.
 
     The key must be a whole number. A null key is larger than all others. Rows with equal keys are not smaller than each
     other, so they leave each other whole. A null text counts as empty; a text shorter than `length` loses nothing. Texts
@@ -308,10 +308,10 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                         s, e = starts[i], starts[i + 1]
                         o = off[s:e]
                         step = np.diff(o.view(np.int8), prepend=0, append=0)
-                        rows.append((int(keys[i]) if known[i] else None, int(e - s), [{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)], raw[s:e][~o].tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()), strict=True)] + [rest.column(i).slice(at, 500) for i in range(len(keep))], names=["key", "n", "spans", "kept", *(f"k{i}" for i in range(len(keep)))])
+                        rows.append((int(keys[i]) if known[i] else None, int(e - s), [{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)], raw[s:e][~o].tobytes().decode("utf-8", "ignore") if as_text else raw[s:e][~o].tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string() if as_text else pa.binary()), strict=True)] + [rest.column(i).slice(at, 500) for i in range(len(keep))], names=["key", "n", "spans", "kept", *(f"k{i}" for i in range(len(keep)))])
 
     done = packs.select("b", "keys", "starts", "blob", "rest").join(spans, "b", "left").select("keys", "starts", "blob", "rest", F.coalesce("spans", F.array().cast("array<struct<x:binary,y:binary>>")))
     more = "".join(f", k{i} {types[c]}" for i, c in enumerate(keep))
-    out = done.mapInArrow(cut_out, "key long, n long, spans array<struct<start:bigint,end:bigint>>, kept binary" + more)
+    out = done.mapInArrow(cut_out, "key long, n long, spans array<struct<start:bigint,end:bigint>>, kept " + ("string" if as_text else "binary") + more)
     return out.select(F.col("key").cast(types[key]).alias(key), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("n").alias("n_bytes"), "spans", "kept")
