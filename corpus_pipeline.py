@@ -40,11 +40,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of REPEAT bytes that also start in a document with a smaller doc_id; characters that are cut through
     go whole. Documents of which nothing is left but white space go."""
-    got = suffix.dedup(docs.select(*COLUMNS), "text", "doc_id", REPEAT, ["lang", "source"])
-    text = F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")
-    same = F.when(F.size("spans") == 0, F.decode("kept", "UTF-8")).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
-    got = got.withColumn("text", F.coalesce(same, text)).where((F.size("spans") == 0) | F.col("text").rlike(r"\S"))
-    return got.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    got = suffix.dedup(docs.select(*COLUMNS), "text", "doc_id", REPEAT, ["lang", "source"], as_text=True)
+    got = got.where((F.size("spans") == 0) | F.col("kept").rlike(r"\S"))
+    return got.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
