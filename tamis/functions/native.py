@@ -70,11 +70,13 @@ def folded(v: Column) -> Column:
     concerned come from Python's own tables, by rule."""
     special = {c: c.casefold() for c in map(chr, range(128, sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and c.lower().casefold() != c.lower()}
     special |= {low: low.casefold() for c in list(special) for low in c.lower() if low.casefold() != low}
-    table = F.create_map(*[F.lit(x) for pair in sorted(special.items()) for x in pair])
-    lower = F.lower(v)
-    some = "[" + "".join(sorted(special)) + "]"
-    each = F.transform(F.split(lower, ""), lambda c: F.coalesce(F.element_at(table, c), c))
-    return F.when(lower.rlike(some), F.array_join(each, "")).otherwise(lower)
+    single = {c: f for c, f in sorted(special.items()) if len(f) == 1}
+    longer = {c: f for c, f in sorted(special.items()) if len(f) > 1 and c != "ß"}
+    text = F.replace(F.translate(F.lower(v), "".join(single), "".join(single.values())), F.lit("ß"), F.lit("ss"))
+    # the other characters that fold to several are rare: only texts with one go character by character
+    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c))
+    return F.when(text.rlike("[" + "".join(longer) + "]"), F.array_join(each, "")).otherwise(text)
 
 
 def without_controls(v: Column) -> Column:
