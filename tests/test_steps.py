@@ -217,7 +217,7 @@ def test_runner(spark):
 
 def test_strict(spark):
     df = spark.createDataFrame([("1",), ("x",)], "v string")
-    assert check(Int, df.where("v = 1"), "v") == [D(1)]
+    assert check(Int, df.where("v = '1'"), "v") == [D(1)]
     with pytest.raises(Invalid) as e:
         check(Int, df, "v")
     assert "not_numeric" in str(e.value)
