@@ -26,7 +26,7 @@ from .common import Stage, tune
 #: Bytes of text in a pack (one longer text is a pack of its own), bytes looked at together, bytes of an anchor.
 PACK, SLICE, GRAM = 2 << 20, 1 << 18, 24
 #: Text for which there is one group of suffix buckets, and groups at least.
-GROUP_BYTES, GROUPS = 16 << 20, 64
+GROUP_BYTES, GROUPS = 4 << 20, 64
 LAST = np.iinfo(np.int64).max
 K = 0xD6E8FEB86659FD93
 K_BACK = pow(K, -1, 1 << 64)
@@ -195,23 +195,19 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                 keys, starts, raw = _unpack(keys, starts, blob)
                 r = runs(raw, starts, length)
                 rep, _ = entries(r)
-                h, c, doc = r["h"][rep], r["c"][rep], r["doc"][rep].astype(np.uint32)
+                h, c, doc = r["h"][rep], r["c"][rep], keys[r["doc"][rep]]
                 cut = cuts(h)
-                rows = []
-                for g in range(groups):
-                    s = slice(cut[g], cut[g + 1])
-                    used, local = np.unique(doc[s], return_inverse=True)
-                    rows.append((g, h[s].tobytes(), c[s].tobytes(), local.astype(np.uint32).tobytes(), keys[used].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([b] * groups, pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True))], names=["b", "g", "h", "c", "d", "k"])
+                rows = [(g, *(x[cut[g] : cut[g + 1]].tobytes() for x in (h, c, doc))) for g in range(groups)]
+                yield pa.RecordBatch.from_arrays([pa.array([b] * groups, pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True))], names=["b", "g", "h", "c", "d"])
 
-    sent = packs.select("b", "keys", "starts", "blob").mapInArrow(send, "b long, g int, h binary, c binary, d binary, k binary")
+    sent = packs.select("b", "keys", "starts", "blob").mapInArrow(send, "b long, g int, h binary, c binary, d binary")
 
     def judge(table: pa.Table) -> pa.Table:
         """For each entry: is its run in a smaller document; are its bytes needed to compare its strings one by one."""
         g = table.column("g")[0].as_py()
         h = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
         sizes = [len(x) for x in h]
-        doc = np.concatenate([np.frombuffer(k, np.int64)[np.frombuffer(d, np.uint32)] if d else np.empty(0, np.int64) for d, k in zip(table.column("d").to_pylist(), table.column("k").to_pylist(), strict=True)])
+        doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("d").to_pylist()])
         h, c = np.concatenate(h), np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("c").to_pylist()])
         gone, ask = np.zeros(len(h), bool), np.zeros(len(h), bool)
         if len(h):
