@@ -27,6 +27,8 @@ from .common import Stage, tune
 PACK, SLICE, GRAM = 2 << 20, 1 << 18, 24
 #: Text for which there is one group of suffix buckets, and groups at least.
 GROUP_BYTES, GROUPS = 4 << 20, 64
+#: Bytes of runs that are refined at a time, unless one anchor has more.
+REFINED = 1 << 19
 LAST = np.iinfo(np.int64).max
 K = 0xD6E8FEB86659FD93
 K_BACK = pow(K, -1, 1 << 64)
@@ -130,7 +132,8 @@ def refine(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     n = len(raw) + length
     gram = np.zeros(n, np.uint64)
     for j in range(8):
-        gram = gram << np.uint64(8) | padded[j : j + n].astype(np.uint64)
+        gram <<= np.uint64(8)
+        gram |= padded[j : j + n]
     bucket = np.unique(gram, return_inverse=True)[1]
     size = 8
     while size * 2 <= length:
@@ -244,17 +247,17 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                     ask[i:j] = np.unpackbits(np.frombuffer(x["ask"], np.uint8), count=j - i)
                 off = gone[kind] | (keys[r["doc"]] > keys[r["doc"][rep]][kind])
                 first, last = _spans(r["s0"][off], r["s1"][off] + length)
-                rows = [(0, -1, first.tobytes(), last.tobytes(), b"", b"")]
+                rows = [(0, -1, first.tobytes(), last.tobytes(), b"", b"", b"")]
                 for g in range(groups):
                     some = rep[cut[g] : cut[g + 1]][ask[cut[g] : cut[g + 1]]]
                     if len(some):
                         s0, size = r["s0"][some], r["s1"][some] - r["s0"][some] + length
                         at = np.repeat(s0 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                        rows.append((1, g, s0.tobytes(), size.astype(np.uint32).tobytes(), keys[r["doc"][some]].tobytes(), raw[at].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(rows), pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True))], names=["b", "kind", "g", "x", "y", "z", "raw"])
+                        rows.append((1, g, s0.tobytes(), size.astype(np.uint32).tobytes(), keys[r["doc"][some]].tobytes(), r["h"][some].tobytes(), raw[at].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([b] * len(rows), pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True))], names=["b", "kind", "g", "x", "y", "z", "h", "raw"])
 
     asked = packs.select("b", "keys", "starts", "blob").join(answers, "b").select("b", "keys", "starts", "blob", "answers")
-    settled = Stage(asked.mapInArrow(settle, "b long, kind int, g int, x binary, y binary, z binary, raw binary"), "settled").df
+    settled = Stage(asked.mapInArrow(settle, "b long, kind int, g int, x binary, y binary, z binary, h binary, raw binary"), "settled").df
     judged.drop()
 
     def compare(table: pa.Table) -> pa.Table:
@@ -263,27 +266,40 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         pack_ = np.repeat(np.arange(len(size)), [len(x) for x in size])
         size = np.concatenate(size)
         s0, doc = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(n).to_pylist()]) for n in ("x", "z"))
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()])
         raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        count = size - length + 1
-        of = np.repeat(np.arange(len(size)), count)
-        nth = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        bucket = refine(raw, begin[of] + nth, length)
-        least = np.full(int(bucket.max()) + 1, LAST)
-        order = np.argsort(bucket, kind="stable")
-        head = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-        least[bucket[order][head]] = np.minimum.reduceat(doc[of][order], head)
-        off = doc[of] > least[bucket]
-        of, start = of[off], s0[of[off]] + nth[off]
+        order = np.argsort(h, kind="stable")
+        # runs of some anchors at a time: no string of one anchor equals one of another
+        new = np.append(True, h[order][1:] != h[order][:-1])
+        part = np.maximum.accumulate(np.where(new, np.cumsum(size[order]) // REFINED, 0))
+        found = []
+        for k in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+            n = size[k]
+            head = np.concatenate([[0], np.cumsum(n)[:-1]])
+            count = n - length + 1
+            of = np.repeat(np.arange(len(k)), count)
+            nth = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+            bucket = refine(raw[np.repeat(begin[k] - head, n) + np.arange(n.sum())], head[of] + nth, length)
+            by = np.argsort(bucket, kind="stable")
+            least = np.minimum.reduceat(doc[k][of][by], np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)))
+            off = np.flatnonzero(doc[k][of] > least[bucket])
+            if len(off):
+                of, start = of[off], s0[k][of[off]] + nth[off]
+                first = np.append(True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1))
+                at = np.flatnonzero(first)
+                found.append((pack_[k][of[at]], start[at], start[np.append(at[1:], len(start)) - 1] + length))
         out = []
-        for i, b in enumerate(table.column("b").to_pylist()):
-            mine = pack_[of] == i if len(table) < 2 else slice(*np.searchsorted(pack_[of], [i, i + 1]))
-            first, last = _spans(start[mine], start[mine] + length)
-            if len(first):
-                out.append((b, first.tobytes(), last.tobytes()))
+        if found:
+            of, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+            by = np.argsort(of, kind="stable")
+            names = table.column("b").to_pylist()
+            for at in np.split(by, np.flatnonzero(np.diff(of[by])) + 1):
+                x, y = _spans(first[at], last[at])
+                out.append((names[of[at[0]]], x.tobytes(), y.tobytes()))
         return pa.table({"b": pa.array([x[0] for x in out], pa.int64()), "x": pa.array([x[1] for x in out], pa.binary()), "y": pa.array([x[2] for x in out], pa.binary())})
 
-    fine = settled.where("kind = 1").select("b", "g", "x", "y", "z", "raw").groupBy("g").applyInArrow(compare, "b long, x binary, y binary")
+    fine = settled.where("kind = 1").select("b", "g", "x", "y", "z", "h", "raw").groupBy("g").applyInArrow(compare, "b long, x binary, y binary")
     spans = settled.where("kind = 0").select("b", "x", "y").unionByName(fine).groupBy("b").agg(F.collect_list(F.struct("x", "y")).alias("spans"))  # one for each group and one more
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
