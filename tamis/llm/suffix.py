@@ -8,7 +8,9 @@ bucketed by their first eight bytes, then refined by pairs of bucket numbers at
 bytes, each from the numbers before it.
 
 Texts travel in packs of a few MB; a pack sends one entry for each kind of run, with its smallest document, to each of a
-fixed number of bucket groups. So a passage in very many documents makes as many entries as there are packs.
+fixed number of bucket groups. So a passage in very many documents makes as many entries as there are packs. An anchor with
+many kinds of runs, such as one in a line that stands between ever different others, would fill one group: its strings are
+dealt out one by one instead, by two hashes of all their bytes, and each pack sends equal ones once.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import Stage, tune
 PACK, SLICE, GRAM = 2 << 20, 1 << 18, 24
 #: Text for which there is one group of suffix buckets, and groups at least.
 GROUP_BYTES, GROUPS = 4 << 20, 64
-#: Bytes of runs that are refined at a time, unless one anchor has more.
-REFINED = 1 << 19
+#: Bytes of runs that are refined at a time, unless one anchor has more; kinds of runs from which an anchor is hot.
+REFINED, HOT = 1 << 19, 64
 LAST = np.iinfo(np.int64).max
 K = 0xD6E8FEB86659FD93
 K_BACK = pow(K, -1, 1 << 64)
@@ -123,6 +125,17 @@ def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[at], last[np.append(at[1:], len(first)) - 1]
 
 
+def _whole(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes, of 64 and 32 bits, of the strings of `length` bytes that start at `at`."""
+    t = _prepared(length)
+    one, two = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    for i in range(0, len(at), 1 << 14):
+        value = t["byte"][raw[at[i : i + (1 << 14), None] + np.arange(length)]]
+        one[i : i + (1 << 14)] = _mixed((value * t["up"][:length]).sum(1, dtype=np.uint64))
+        two[i : i + (1 << 14)] = _mixed((value * t["down"][1 : length + 1]).sum(1, dtype=np.uint64))
+    return one, (two >> np.uint64(32)).astype(np.uint32)
+
+
 def refine(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Bucket numbers of the strings of `length` bytes that start at `at`: equal for equal strings.
 
@@ -212,7 +225,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         sizes = [len(x) for x in h]
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("d").to_pylist()])
         h, c = np.concatenate(h), np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("c").to_pylist()])
-        gone, ask = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        gone, ask, hot = (np.zeros(len(h), bool) for _ in range(3))
         if len(h):
             order = np.lexsort((doc, c, h))
             hs, cs, ds = h[order], c[order], doc[order]
@@ -223,15 +236,17 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
             of = np.cumsum(new_c) - 1
             head = np.flatnonzero(new_h[first])
             low, high = np.minimum.reduceat(least, head), np.maximum.reduceat(least, head)
-            apart = np.repeat(low < high, np.diff(np.append(head, len(first))))
+            kinds = np.diff(np.append(head, len(first)))
+            apart, many = np.repeat(low < high, kinds), np.repeat(kinds >= HOT, kinds)
             gone[order] = ds > least[of]
             ask[order] = apart[of] & (ds == least[of])
+            hot[order] = many[of]
         at = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
         pairs = list(zip(at[:-1], at[1:], strict=True))
-        return pa.table({"b": table.column("b"), "g": pa.array([g] * len(pairs), pa.int32()), "gone": pa.array([np.packbits(gone[i:j]).tobytes() for i, j in pairs], pa.binary()), "ask": pa.array([np.packbits(ask[i:j]).tobytes() for i, j in pairs], pa.binary())})
+        return pa.table({"b": table.column("b"), "g": pa.array([g] * len(pairs), pa.int32()), "gone": pa.array([np.packbits(gone[i:j]).tobytes() for i, j in pairs], pa.binary()), "ask": pa.array([np.packbits(ask[i:j]).tobytes() for i, j in pairs], pa.binary()), "hot": pa.array([np.packbits(hot[i:j]).tobytes() for i, j in pairs], pa.binary())})
 
-    judged = Stage(sent.groupBy("g").applyInArrow(judge, "b long, g int, gone binary, ask binary"), "judged")
-    answers = judged.df.groupBy("b").agg(F.collect_list(F.struct("g", "gone", "ask")).alias("answers"))  # one for each group
+    judged = Stage(sent.groupBy("g").applyInArrow(judge, "b long, g int, gone binary, ask binary, hot binary"), "judged")
+    answers = judged.df.groupBy("b").agg(F.collect_list(F.struct("g", "gone", "ask", "hot")).alias("answers"))  # one for each group
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,13 +255,27 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                 r = runs(raw, starts, length)
                 rep, kind = entries(r)
                 cut = cuts(r["h"][rep])
-                gone, ask = np.zeros(len(rep), bool), np.zeros(len(rep), bool)
+                flags = {n: np.zeros(len(rep), bool) for n in ("gone", "ask", "hot")}
                 for x in got:
                     i, j = cut[x["g"]], cut[x["g"] + 1]
-                    gone[i:j] = np.unpackbits(np.frombuffer(x["gone"], np.uint8), count=j - i)
-                    ask[i:j] = np.unpackbits(np.frombuffer(x["ask"], np.uint8), count=j - i)
+                    for n, f in flags.items():
+                        f[i:j] = np.unpackbits(np.frombuffer(x[n], np.uint8), count=j - i)
+                gone, hot = flags["gone"], rep[flags["ask"] & flags["hot"]]
+                ask = flags["ask"] & ~flags["hot"]
                 off = gone[kind] | (keys[r["doc"]] > keys[r["doc"][rep]][kind])
-                first, last = _spans(r["s0"][off], r["s1"][off] + length)
+                # strings of hot anchors: equal ones go once, with the smallest document; those in larger ones are settled
+                count = r["s1"][hot] - r["s0"][hot] + 1
+                start = np.repeat(r["s0"][hot] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)[: len(hot)], count) + np.arange(count.sum())
+                doc = np.repeat(keys[r["doc"][hot]], count)
+                one, two = _whole(raw, start, length)
+                order = np.lexsort((doc, two, one))
+                one, two, doc, start = one[order], two[order], doc[order], start[order]
+                new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
+                least = doc[new][np.cumsum(new) - 1] if len(doc) else doc
+                later = doc > least
+                first, last = _spans(np.concatenate([r["s0"][off], start[later]]), np.concatenate([r["s1"][off], start[later]]) + length)
+                one, two, doc, start = one[~later], two[~later], doc[~later], start[~later]
+                ends = cuts(one)
                 rows = [(0, -1, first.tobytes(), last.tobytes(), b"", b"", b"")]
                 for g in range(groups):
                     some = rep[cut[g] : cut[g + 1]][ask[cut[g] : cut[g + 1]]]
@@ -254,6 +283,9 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                         s0, size = r["s0"][some], r["s1"][some] - r["s0"][some] + length
                         at = np.repeat(s0 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
                         rows.append((1, g, s0.tobytes(), size.astype(np.uint32).tobytes(), keys[r["doc"][some]].tobytes(), r["h"][some].tobytes(), raw[at].tobytes()))
+                    if ends[g] < ends[g + 1]:
+                        s = slice(ends[g], ends[g + 1])
+                        rows.append((2, g, start[s].tobytes(), two[s].tobytes(), doc[s].tobytes(), one[s].tobytes(), b""))
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(rows), pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True))], names=["b", "kind", "g", "x", "y", "z", "h", "raw"])
 
     asked = packs.select("b", "keys", "starts", "blob").join(answers, "b").select("b", "keys", "starts", "blob", "answers")
@@ -299,8 +331,25 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                 out.append((names[of[at[0]]], x.tobytes(), y.tobytes()))
         return pa.table({"b": pa.array([x[0] for x in out], pa.int64()), "x": pa.array([x[1] for x in out], pa.binary()), "y": pa.array([x[2] for x in out], pa.binary())})
 
+    def match(table: pa.Table) -> pa.Table:
+        """Strings of hot anchors: those that start in a smaller document, as spans of a pack."""
+        names = table.column("b").to_pylist()
+        start, doc, one = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in (("x", np.int64), ("z", np.int64), ("h", np.uint64)))
+        two = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("y").to_pylist()])
+        of = np.repeat(np.arange(len(names)), [len(x) // 8 for x in table.column("x").to_pylist()])
+        order = np.lexsort((doc, two, one))
+        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+        off = order[doc[order] > doc[order][new][np.cumsum(new) - 1]]
+        out = []
+        for i in np.unique(of[off]):
+            at = start[off[of[off] == i]]
+            x, y = _spans(at, at + length)
+            out.append((names[i], x.tobytes(), y.tobytes()))
+        return pa.table({"b": pa.array([x[0] for x in out], pa.int64()), "x": pa.array([x[1] for x in out], pa.binary()), "y": pa.array([x[2] for x in out], pa.binary())})
+
+    strings = settled.where("kind = 2").select("b", "g", "x", "y", "z", "h").groupBy("g").applyInArrow(match, "b long, x binary, y binary")
     fine = settled.where("kind = 1").select("b", "g", "x", "y", "z", "h", "raw").groupBy("g").applyInArrow(compare, "b long, x binary, y binary")
-    spans = settled.where("kind = 0").select("b", "x", "y").unionByName(fine).groupBy("b").agg(F.collect_list(F.struct("x", "y")).alias("spans"))  # one for each group and one more
+    spans = settled.where("kind = 0").select("b", "x", "y").unionByName(fine).unionByName(strings).groupBy("b").agg(F.collect_list(F.struct("x", "y")).alias("spans"))  # two for each group and one more
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
