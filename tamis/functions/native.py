@@ -19,10 +19,6 @@ def kind_of(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def is_number(t: T.DataType) -> bool:
-    return isinstance(t, T.NumericType)
-
-
 def length_of(v: Column, t: T.DataType) -> Column | None:
     """Characters of text, bytes of binary, elements of arrays and maps, fields of structs; None if the type has none.
     In a variant, null for a value without length."""

@@ -97,7 +97,7 @@ class Int(Decimal):
             return super().tests(v, t)
         text = self.text(v, t)
         whole, rest = self._split(v, t)
-        first = [x for x in (super().tests(v, T.StringType()) if isinstance(t, T.DecimalType) else super().tests(v, t)) if x[1] != "exception"] if not isinstance(t, T.DecimalType) else []
+        first = [] if isinstance(t, T.DecimalType) else [x for x in super().tests(v, t) if x[1] != "exception"]
         return [*first, (rest.rlike("[^0]"), "not_int", "is not whole"), (text.isNotNull() & whole.try_cast(T.DecimalType(38, 0)).isNull(), "exception", "is too large")]
 
     def value(self, v: Column, t: T.DataType) -> Column:
@@ -107,10 +107,6 @@ class Int(Decimal):
 
 
 #: How a count of steps is made whole, by name of the rounding.
-def _trunc(x: Column) -> Column:
-    return F.signum(x.cast("double")) * F.floor(F.abs(x))
-
-
 ROUNDINGS = {
     "ROUND_HALF_UP": lambda x: F.round(x, 0),
     "ROUND_HALF_EVEN": lambda x: F.bround(x, 0),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import codecs
+import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -11,9 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.functions.native import FLAGS, folded, kind_of, line_feeds, without_controls
+from tamis.functions.native import FLAGS, folded, kind_of, length_of, line_feeds, without_controls
 from tamis.operators.predicates import _text
-from tamis.plans.core import Called, Outcome, Step, issue, no_issues, shown
+from tamis.plans.core import Called, Outcome, Step, below, issue, no_issues, shown
 
 #: Fixed value: encodings that Spark decodes and encodes itself.
 NATIVE = {"utf-8": "UTF-8", "ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}
@@ -27,10 +29,6 @@ def _plain(v: Column, t: T.DataType) -> Column:
     """Any value but bytes as text."""
     if isinstance(t, T.BooleanType):
         return v.cast("int").cast("string")
-    if isinstance(t, (T.FloatType, T.DoubleType)):
-        return v.cast("string")
-    if isinstance(t, T.DecimalType):
-        return v.cast("string")
     if isinstance(t, T.VariantType):
         kind = kind_of(v)
         return F.when(kind.rlike("^BOOLEAN"), F.try_variant_get(v, "$", "boolean").cast("int").cast("string")).when(kind.rlike("^(ARRAY|OBJECT)"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
@@ -203,8 +201,6 @@ class ByteArray(Step):
         return F.encode(fits, NATIVE[self.encoding]), T.BinaryType()
 
     def _numbers(self, v: Column, t: T.ArrayType, path: Column) -> Outcome:
-        from tamis.plans.core import below
-
         e = t.elementType
 
         def fault(x: Column, i: Column) -> Column:
@@ -284,8 +280,6 @@ class JsonDecode(Called):
         decoder = self.decoder
 
         def run(text: str) -> tuple[str | None, str | None]:
-            import json
-
             try:
                 return json.dumps(decoder(text)), None
             except ValueError:
@@ -320,8 +314,6 @@ def _pattern(pattern: object) -> str:
     if isinstance(pattern, str):
         return FLAGS + pattern
     text, flags = pattern.pattern, getattr(pattern, "flags", 0)
-    import re
-
     marks = "".join(c for c, f in (("i", re.IGNORECASE), ("m", re.MULTILINE), ("s", re.DOTALL), ("x", re.VERBOSE)) if flags & f)
     return (f"(?{marks})" if marks else "") + FLAGS + text
 
@@ -433,13 +425,9 @@ class Optional(Step):
         self.default = default
 
     def convert(self, v: Column, t: T.DataType) -> tuple[Column, T.DataType]:
-        from tamis.functions.native import length_of
-
         n = length_of(v, t)
         empty = v.isNull() if n is None else v.isNull() | (n == 0)
         if isinstance(t, T.VariantType):
-            import json
-
             return F.when(F.coalesce(empty | F.is_variant_null(v), F.lit(False)), F.parse_json(F.lit(json.dumps(self.default)))).otherwise(v), t
         default = F.lit(self.default)
         if isinstance(self.default, (dict,)):
