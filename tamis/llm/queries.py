@@ -92,5 +92,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mix, op2_minhash, op3_neighbours, op4_shard, op5_language, op6_repeats, op7_quality, op8_license, op9_vectors, op10_bpe)}
 
 
+def license_sql() -> str:
+    """op8 for DuckDB, with the templates' weights as values."""
+    idf, other, vectors = license.weights(license.TEMPLATES)
+    weights = ", ".join(f"('{w}', {v!r}::double)" for w, v in idf.items())
+    templates = ", ".join(f"({i}, '{name}', '{w}', {x!r}::double)" for i, (name, v) in enumerate(vectors) for w, x in v.items())
+    dirs = "[coalesce(source, 'unknown'), CAST(doc_id // 10000 AS varchar), CAST(doc_id // 1000 AS varchar), CAST(doc_id // 100 AS varchar)]"
+    return rf"""WITH idf(w, v) AS (VALUES {weights}), template(t, name, w, x) AS (VALUES {templates}),
+files AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN array_to_string(list_slice({dirs}, 1, doc_id // 10 % 4 + 1), '/') || '/LICENSE-' || doc_id
+  ELSE array_to_string({dirs}, '/') || '/' || doc_id || '.txt' END AS path FROM documents),
+segment AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!;])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM files),
+mention AS (SELECT doc_id, row_number() OVER () AS n, s FROM segment WHERE regexp_matches(s, '{license.MENTION}')),
+word AS (SELECT doc_id, n, unnest(regexp_extract_all(lower(s), '{license.WORDS}')) AS w FROM mention),
+tf AS (SELECT doc_id, n, w, count(*) AS k FROM word GROUP BY doc_id, n, w),
+length AS (SELECT doc_id, n, sqrt(sum((k * coalesce(v, {other!r})) ** 2)) AS size FROM tf LEFT JOIN idf USING (w) GROUP BY doc_id, n),
+dot AS (SELECT doc_id, n, t, name, sum(k * v * x) AS d FROM tf JOIN idf USING (w) JOIN template USING (w) GROUP BY doc_id, n, t, name),
+score AS (SELECT doc_id, name, round(d / size, 9) AS score FROM dot JOIN length USING (doc_id, n)),
+best AS (SELECT doc_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS r FROM score) q WHERE r = 1 AND score >= {license.THRESHOLD}),
+file AS (SELECT files.doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, name, score FROM files LEFT JOIN best USING (doc_id)),
+given AS (SELECT dir AS up, path AS p, name AS l, score AS s FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, name) AS r FROM file WHERE name IS NOT NULL AND regexp_matches(path, '{license.LICENCE_FILE}')) q WHERE r = 1),
+above AS (SELECT dir, depth, array_to_string(list_slice(string_split(dir, '/'), 1, depth), '/') AS up FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM file) q) q),
+nearest AS (SELECT dir, p, l, s FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY depth DESC) AS r FROM above JOIN given USING (up)) q WHERE r = 1)
+SELECT doc_id, path, coalesce(name, l) AS license, coalesce(score, s, 0.0) AS score, CASE WHEN name IS NOT NULL THEN 'notice' WHEN l IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+  CASE WHEN name IS NOT NULL THEN path ELSE p END AS license_path FROM file LEFT JOIN nearest USING (dir)"""
+
+
+VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS double[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.r = link.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings JOIN (SELECT a, min(r) AS c FROM reach GROUP BY a) m ON m.a = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL says the same within reason; the others are tested against brute force."""
+    return {"op8_license": license_sql(), "op9_vectors": VECTORS_SQL}

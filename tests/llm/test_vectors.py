@@ -136,3 +136,18 @@ def test_takes_part(spark):
 
 def test_registered():
     assert sorted(int(n.split("_")[0][2:]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_sql(spark):
+    """op8 and op9 against their SQL, on a table with licence files and links."""
+    import duckdb
+
+    where = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, where)
+        columns = sorted(df.columns)
+        want = c.sql(f"SELECT {', '.join(columns)} FROM ({sql}) q").fetchall()
+        assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(map(tuple, want), key=str)
