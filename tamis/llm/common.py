@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 #: A word is a run of characters other than ASCII white space.
 SPACE = r"\x20\x09-\x0D"
 #: A Python worker gets at most this much text at once (one longer row still comes alone).
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1000
 #: Tables of at most this many rows may be broadcast, behind a count; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -109,8 +109,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     component sizes; each round is written to the shared folder.
     """
     e = Stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = _sum(e.df)
     for _ in range(rounds):
-        if e.df.isEmpty():
+        if not before[0]:
             break
         both = e.df.unionByName(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -120,12 +121,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = big.df.groupBy("u").agg(F.min("v").alias("m"))
         small = big.df.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = Stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        same = _sum(new.df) == _sum(e.df)
         e.drop()
         big.drop()
-        e = new
-        if same:
+        e, now = new, _sum(new.df)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     return e.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

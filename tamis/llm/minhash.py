@@ -5,9 +5,11 @@ its smallest value the number of leading zeros and MANTISSA bits after the first
 the next filled one. BANDS of four registers are 64-bit keys; documents that share a key are candidates, which must pass
 an estimate of their similarity (corrected for registers that agree by chance), then the exact similarity of full sets.
 
-Documents with equal sets are one class, of which one member is compared. Classes that meet under a key are linked
-through few pairs: first each with a centre of the key's classes, then along a forest of the most similar pairs, at last
-all pairs that still lie in different components; so a large group costs about as many pairs as it has members.
+Documents with equal sets are one class, of which one member is compared. Classes that meet under a key are first paired
+with a centre of the key's classes, and the nearest such pair of each is verified. Where a key's classes still lie in
+different components, all pairs between those are estimated; what passes ties components to clusters, and in each cluster
+the full sets of the classes concerned are compared block by block. So no group's pairs are ever rows, and no pair that
+shares a key and passes the estimate is left out.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, bounded, components, stage, tune
+from .common import bounded, components, stage, tune
 from .letters import SPACES, runs
 
 REGISTERS, MANTISSA, BANDS = 128, 10, 32
 #: Estimates may fall short of the threshold by so many standard errors.
 SLACK = 4.5
-#: Classes under one key that are compared in one task; more are dealt out over several.
-CHUNK = 4096
-#: Rounds in which a key's classes are linked along a forest, before all pairs left are compared.
-FORESTS = 2
+#: Classes under one key that are estimated together; of more, each two parts of that size meet.
+CHUNK = 2048
+#: Classes, and bytes of sets, of a block; shingles that two blocks are compared by at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 4 << 20, 2048
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,7 +144,7 @@ def _keys(classes: DataFrame) -> DataFrame:
 def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(a, b, e) of those pairs of nodes that may reach the similarity by sizes and registers."""
     c = classes.select("node", "n", "regs")
-    both = pairs.join(c.toDF("a", "na", "ra"), "a").where("true").join(c.toDF("b", "nb", "rb"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9))
+    both = pairs.join(c.toDF("a", "na", "ra"), "a").join(c.toDF("b", "nb", "rb"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,33 +159,43 @@ def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a binary, b binary, e double")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, k: int, similarity: float) -> DataFrame:
-    """Those pairs whose full sets reach the similarity. Only texts of documents in pairs are read again."""
-    nodes = stage(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "key"), "node"), "nodes")
+def _sets(nodes: DataFrame, docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
+    """(node, s): the full sets of nodes, which come with the key of a document. Only those documents are read again."""
     few = bounded(nodes.select(F.col("key").alias("_key"), "node"), nodes.count())
     own = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(few, F.col("_k").eqNullSafe(F.col("_key"))).select("node", "_t")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [s.tobytes() for s in shingles(batch.column(1).to_pylist(), k)]
             # a key that stands for several texts brings them all: the right one has the node's hash
             some = pa.array([hashlib.blake2b(s, digest_size=16).digest() == x for s, x in zip(got, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), pa.array(got, pa.binary()).filter(some)], names=["node", "s"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return stage(own.mapInArrow(run, "node binary, s binary").dropDuplicates(["node"]), "sets")
+
+
+def _reach(both: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Do sets of n and m shingles with `both` in common reach the similarity? Exact for hundredths."""
+    return 100 * both >= round(100 * similarity) * (n + m - both)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, k: int, similarity: float) -> DataFrame:
+    """Those pairs whose full sets reach the similarity."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "key"), "node")
+    full = _sets(stage(nodes, "nodes"), docs, text, key, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                some.append(100 * both >= round(100 * similarity) * (len(x) + len(y) - both))
+                some.append(_reach(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(some, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    full = stage(own.mapInArrow(sets, "node binary, s binary").dropDuplicates(["node"]), "sets")
-    return pairs.select("a", "b").join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a binary, b binary")
+    return pairs.select("a", "b").join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[list[list]]:
+def _groups(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[tuple, list[list]]]:
     """Rows of a sorted stream that agree in their first `of` columns, as lists of columns."""
     now, held = None, None
     for batch in batches:
@@ -191,67 +203,146 @@ def _groups(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[list[list]]:
         for row in zip(*columns, strict=True):
             if row[:of] != now:
                 if held:
-                    yield held
+                    yield now, held
                 now, held = row[:of], [[] for _ in columns[of:]]
             for c, x in zip(held, row[of:], strict=True):
                 c.append(x)
     if held:
-        yield held
-
-
-def _between(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity: float, forest: bool, seed: int) -> DataFrame:
-    """Pairs (a, b) of different components under one key: along a forest of the most similar ones, or all."""
+        yield now, held
+
+
+def _forest(x: np.ndarray, y: np.ndarray, root: list[int]) -> list[int]:
+    """Numbers of those links x - y that join two trees of root, which is changed."""
+    keep = []
+    for i, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[p] = q
+            keep.append(i)
+    return keep
+
+
+def _contested(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(kind, a, b) of classes of different components that share a key and may reach the similarity: kind 0 ties
+    components a and b, along a forest for each key; kind 1 says that class a of component b is in such a pair."""
     rows = keys.join(comps, "node")
     by = ["band", "slot"]
-    sums = rows.groupBy(*by, "comp").agg(F.count("*").alias("c"))
-    sums = sums.groupBy(*by).agg(F.sum("c").alias("rows"), F.count("*").alias("kinds"), F.max_by("comp", "c").alias("major")).where("kinds > 1")
+    sums = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     rows = rows.join(sums, by)
+    # each two parts of a key's classes meet in a cell of their own
     parts = F.ceil(F.col("rows") / CHUNK).cast("int")
-    own = F.array(F.pmod(F.xxhash64("node", F.lit(seed)), parts).cast("int"))
-    # where a key has too many classes for a task, those outside its largest component meet all parts of it
-    rows = rows.withColumn("part", F.explode(F.when((parts > 1) & (F.col("comp") != F.col("major")), F.sequence(F.lit(0), parts - 1)).otherwise(own)))
-    rows = rows.select(*by, "part", "node", "comp").join(classes.select("node", "n", "regs"), "node").select(*by, "part", "node", "comp", "n", "regs")
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part")))
+    rows = rows.withColumn("cell", F.explode(cells))
+    rows = rows.select(*by, "cell", "part", "node", "comp").join(classes.select("node", "n", "regs"), "node").select(*by, "cell", "part", "node", "comp", "n", "regs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, comp, n, regs in _groups(batches, 3):
+        for _, (part, node, comp, n, regs) in _groups(batches, 3):
             index: dict[bytes, int] = {}
             c = np.array([index.setdefault(x, len(index)) for x in comp])
             if len(index) < 2:
                 continue
-            r, n = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS), np.array(n, float)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            step = max(1, (1 << 22) // (len(n) * REGISTERS) or 1)
+            r, n, part_ = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS), np.array(n, float), np.array(part)
+            across = len(set(part)) > 1
+            asked, ties = np.zeros(len(n), bool), []
+            step = max(1, (1 << 18) // len(n))
             for i in range(0, len(n), step):
                 mine = np.arange(i, min(i + step, len(n)))
                 ok = (c[mine, None] != c[None, :]) & (mine[:, None] < np.arange(len(n))) & (np.minimum(n[mine, None], n) >= (similarity - 1e-9) * np.maximum(n[mine, None], n))
+                if across:
+                    ok &= part_[mine, None] != part_[None, :]
                 x, y = np.nonzero(ok)
-                if len(x):
-                    x = mine[x]
-                    e = np.concatenate([estimate(r[x[j : j + 16384]], r[y[j : j + 16384]], n[x[j : j + 16384]], n[y[j : j + 16384]]) for j in range(0, len(x), 16384)])
-                    some = e >= least_estimate(similarity, n[x], n[y])
-                    found.append((x[some], y[some], e[some]))
-            if not found:
-                continue
-            x, y, e = (np.concatenate(z) for z in zip(*found, strict=True))
-            if forest:
-                root = list(range(len(index)))
-
-                def top(i: int, root: list[int] = root) -> int:
-                    while root[i] != i:
-                        root[i] = i = root[root[i]]
-                    return i
-
-                keep = []
-                for j in np.argsort(-e, kind="stable"):
-                    p, q = top(c[x[j]]), top(c[y[j]])
-                    if p != q:
-                        root[p] = q
-                        keep.append(j)
-                x, y = x[keep], y[keep]
-            a, b = [node[i] for i in x], [node[i] for i in y]
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in zip(a, b, strict=True)], pa.binary()), pa.array([max(p) for p in zip(a, b, strict=True)], pa.binary())], names=["a", "b"])
+                x = mine[x]
+                for j in range(0, len(x), 1 << 14):
+                    p, q = x[j : j + (1 << 14)], y[j : j + (1 << 14)]
+                    some = estimate(r[p], r[q], n[p], n[q]) >= least_estimate(similarity, n[p], n[q])
+                    p, q = p[some], q[some]
+                    asked[p] = asked[q] = True
+                    ties.append(np.unique(c[p] * len(index) + c[q]))
+            ties_ = np.unique(np.concatenate(ties)) if ties else np.empty(0, np.int64)
+            x, y = ties_ // len(index), ties_ % len(index)
+            tree = _forest(x, y, list(range(len(index))))
+            names = list(index)
+            nodes = np.flatnonzero(asked)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(tree) + [1] * len(nodes), pa.int32()), pa.array([names[x[i]] for i in tree] + [node[i] for i in nodes], pa.binary()), pa.array([names[y[i]] for i in tree] + [comp[i] for i in nodes], pa.binary())], names=["kind", "a", "b"])
+
+    return rows.repartition(*by, "cell").sortWithinPartitions(*by, "cell").mapInArrow(run, "kind int, a binary, b binary").distinct()
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets of a and b have in common."""
+    if len(a) * len(b) <= 16:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a])
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for sets in (a, b):
+        h = np.concatenate(sets)
+        sides.append((h, np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    cells = []
+    for h, row in sides:
+        at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+        here = common[at] == h if len(common) else np.zeros(len(h), bool)
+        order = np.argsort(at[here], kind="stable")
+        cells.append((at[here][order], row[here][order]))
+    for first in range(0, len(common), COLUMNS):
+        dense = []
+        for (at, row), n in zip(cells, out.shape, strict=True):
+            s = slice(*np.searchsorted(at, [first, first + COLUMNS]))
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[row[s], at[s] - first] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def _linked(nodes: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components of one cluster, from (cluster, comp, node) and the nodes' full sets."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(cluster: bytes, part: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([cluster], pa.binary()), pa.array([[c for c, _ in part]], pa.list_(pa.binary())), pa.array([[s for _, s in part]], pa.list_(pa.binary()))], names=["cluster", "comps", "sets"])
+
+        now, held, size = None, [], 0
+        for batch in batches:
+            for cluster, comp, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (cluster != now or len(held) == BLOCK or size + len(s) > BLOCK_BYTES):
+                    yield block(now, held)
+                    held, size = [], 0
+                now = cluster
+                held.append((comp, s))
+                size += len(s)
+        if held:
+            yield block(now, held)
+
+    rows = nodes.join(full, "node").select("cluster", "comp", "s", "node")
+    rows = rows.repartitionByRange("cluster", "node").sortWithinPartitions("cluster", "comp").select("cluster", "comp", "s")
+    blocks = stage(rows.mapInArrow(pack, "cluster binary, comps array<binary>, sets array<binary>").withColumn("b", F.monotonically_increasing_id()), "blocks")
+    ends = blocks.select("cluster", "b")
+    pairs = ends.toDF("cluster", "b1").join(ends.toDF("cluster", "b2"), "cluster").where("b1 <= b2").select("b1", "b2")
+    own = blocks.select("b", "comps", "sets")
+    pairs = pairs.join(own.toDF("b1", "c1", "s1"), "b1").join(own.toDF("b2", "c2", "s2"), "b2").select("c1", "s1", "c2", "s2")
 
-    return rows.repartition(*by, "part").sortWithinPartitions(*by, "part").mapInArrow(run, "a binary, b binary").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c1, s1, c2, s2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                index: dict[bytes, int] = {}
+                i1, i2 = (np.array([index.setdefault(x, len(index)) for x in c]) for c in (c1, c2))
+                if len(index) < 2:
+                    continue
+                a, b = ([np.frombuffer(x, np.uint64) for x in s] for s in (s1, s2))
+                n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+                x, y = np.nonzero(_reach(overlaps(a, b), n[:, None], m[None], similarity) & (i1[:, None] != i2[None]))
+                ties = np.unique(i1[x] * len(index) + i2[y])
+                x, y = ties // len(index), ties % len(index)
+                names, tree = list(index), _forest(x, y, list(range(len(index))))
+                if tree:
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x[i]] for i in tree], pa.binary()), pa.array([names[y[i]] for i in tree], pa.binary())], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -271,28 +362,16 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     keys = stage(keys.join(shared, ["band", "slot"]).select("band", "slot", "node", "centre"), "keys")
     star = keys.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     near = _estimated(star, classes, similarity).groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
-    tried = stage(near, "tried")
-    links = stage(_verified(tried, classes, df, text, key, words, similarity), "links")
-    tried = tried.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    keys = keys.drop("centre")
-    turn = 0
-    while True:
-        roots = components(links)
-        comps = classes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
-        forest = turn < FORESTS
-        pairs = Stage(_between(keys, comps, classes, similarity, forest, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        turn += 1
-        if pairs.df.isEmpty():
-            if not forest:
-                break
-            turn = max(turn, FORESTS)
-            continue
-        more = stage(_verified(pairs.df, classes, df, text, key, words, similarity), "links")
-        links, tried = links.unionByName(more), tried.unionByName(pairs.df)
-        if not forest:
-            roots = components(links)
-            break
-    comps = classes.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("comp"))
+    links = stage(_verified(stage(near, "pairs"), classes, df, text, key, words, similarity), "links")
+    roots = components(links)
+    comps = stage(classes.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("comp")), "comps")
+    contested = stage(_contested(keys.drop("centre"), comps.select("node", "comp"), classes, similarity), "contested")
+    clusters = components(contested.where("kind = 0").select("a", "b")).select(F.col("node").alias("comp"), F.col("root").alias("cluster"))
+    nodes = contested.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("comp")).join(clusters, "comp")
+    nodes = stage(nodes.join(classes.select("node", "key"), "node").select("cluster", "comp", "node", "key"), "nodes")
+    more = _linked(nodes.drop("key"), _sets(nodes, df, text, key, words), similarity)
+    roots = components(stage(more, "links")).select(F.col("node").alias("comp"), "root")
+    comps = comps.join(roots, "comp", "left").select("node", "key", F.coalesce("root", "comp").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("key").alias("component_id"))
     of = stage(comps.join(least, "comp").select("node", "component_id"), "components")
     out = rows.select("key", "n", "node").join(of, "node", "left")
