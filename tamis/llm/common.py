@@ -106,7 +106,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star, small-star: each round a node's larger neighbours, then its smaller ones, are linked to its smallest.
     Sums and joins only: no node's neighbours are ever gathered in a task. Rounds grow with the logarithm of the
-    component sizes; each round is written to the shared folder.
+    component sizes; each round is written to the shared folder. The smallest neighbours are broadcast while a count of
+    the links says that they are few.
     """
     e = Stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = _sum(e.df)
@@ -115,11 +116,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = e.df.unionByName(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = e.df.select(F.col("u"), F.col("v")).join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
+        large = e.df.select(F.col("u"), F.col("v")).join(bounded(least.withColumnRenamed("u", "v"), 2 * before[0]), "v").select("u", F.col("m").alias("v"))
         own = least.where("m < u").select("u", F.col("m").alias("v"))
-        big = Stage(large.unionByName(own).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large")
+        big = Stage(large.unionByName(own).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "large")
         low = big.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.df.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = big.df.join(bounded(low, 2 * before[0]), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = Stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
         e.drop()
         big.drop()

@@ -211,23 +211,30 @@ def _groups(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[tuple,
         yield now, held
 
 
-def _forest(x: np.ndarray, y: np.ndarray, root: list[int]) -> list[int]:
-    """Numbers of those links x - y that join two trees of root, which is changed."""
-    keep = []
-    for i, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+def _stars(x: np.ndarray, y: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
+    """Links x - y between names as (a, b): each name beside the smallest that it is joined with."""
+    root = list(range(len(names)))
+    for p, q in zip(x.tolist(), y.tolist(), strict=True):
         while root[p] != p:
             root[p] = p = root[root[p]]
         while root[q] != q:
             root[q] = q = root[root[q]]
         if p != q:
+            if names[p] < names[q]:
+                p, q = q, p
             root[p] = q
-            keep.append(i)
-    return keep
+    for i in range(len(root)):
+        p = i
+        while root[p] != p:
+            p = root[p]
+        root[i] = p
+    tied = [i for i, p in enumerate(root) if p != i]
+    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in tied], pa.binary()), pa.array([names[root[i]] for i in tied], pa.binary())], names=["a", "b"])
 
 
 def _contested(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(kind, a, b) of classes of different components that share a key and may reach the similarity: kind 0 ties
-    components a and b, along a forest for each key; kind 1 says that class a of component b is in such a pair."""
+    components a and b, a star for each tree of a key; kind 1 says that class a of component b is in such a pair."""
     rows = keys.join(comps, "node")
     by = ["band", "slot"]
     sums = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
@@ -264,10 +271,9 @@ def _contested(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity
                     ties.append(np.unique(c[p] * len(index) + c[q]))
             ties_ = np.unique(np.concatenate(ties)) if ties else np.empty(0, np.int64)
             x, y = ties_ // len(index), ties_ % len(index)
-            tree = _forest(x, y, list(range(len(index))))
-            names = list(index)
-            nodes = np.flatnonzero(asked)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(tree) + [1] * len(nodes), pa.int32()), pa.array([names[x[i]] for i in tree] + [node[i] for i in nodes], pa.binary()), pa.array([names[y[i]] for i in tree] + [comp[i] for i in nodes], pa.binary())], names=["kind", "a", "b"])
+            tied, nodes = _stars(x, y, list(index)), np.flatnonzero(asked)
+            columns = [pa.concat_arrays([c, pa.array([of[i] for i in nodes], pa.binary())]) for c, of in zip(tied.columns, (node, comp), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * tied.num_rows + [1] * len(nodes), pa.int32()), *columns], names=["kind", "a", "b"])
 
     return rows.repartition(*by, "cell").sortWithinPartitions(*by, "cell").mapInArrow(run, "kind int, a binary, b binary").distinct()
 
@@ -308,18 +314,20 @@ def _linked(nodes: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
 
         now, held, size = None, [], 0
         for batch in batches:
-            for cluster, comp, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (cluster != now or len(held) == BLOCK or size + len(s) > BLOCK_BYTES):
-                    yield block(now, held)
+            for cluster, part, comp, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and ((cluster, part) != now or len(held) == BLOCK or size + len(s) > BLOCK_BYTES):
+                    yield block(now[0], held)
                     held, size = [], 0
-                now = cluster
+                now = cluster, part
                 held.append((comp, s))
                 size += len(s)
         if held:
-            yield block(now, held)
+            yield block(now[0], held)
 
-    rows = nodes.join(full, "node").select("cluster", "comp", "s", "node")
-    rows = rows.repartitionByRange("cluster", "node").sortWithinPartitions("cluster", "comp").select("cluster", "comp", "s")
+    # a cluster's classes are dealt out over as many parts as fill a block each
+    sums = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / (BLOCK * 3 // 4)).cast("int").alias("parts"))
+    rows = nodes.join(sums, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(full, "node")
+    rows = rows.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "comp").select("cluster", "part", "comp", "s")
     blocks = stage(rows.mapInArrow(pack, "cluster binary, comps array<binary>, sets array<binary>").withColumn("b", F.monotonically_increasing_id()), "blocks")
     ends = blocks.select("cluster", "b")
     pairs = ends.toDF("cluster", "b1").join(ends.toDF("cluster", "b2"), "cluster").where("b1 <= b2").select("b1", "b2")
@@ -338,9 +346,8 @@ def _linked(nodes: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
                 x, y = np.nonzero(_reach(overlaps(a, b), n[:, None], m[None], similarity) & (i1[:, None] != i2[None]))
                 ties = np.unique(i1[x] * len(index) + i2[y])
                 x, y = ties // len(index), ties % len(index)
-                names, tree = list(index), _forest(x, y, list(range(len(index))))
-                if tree:
-                    yield pa.RecordBatch.from_arrays([pa.array([names[x[i]] for i in tree], pa.binary()), pa.array([names[y[i]] for i in tree], pa.binary())], names=["a", "b"])
+                if len(x):
+                    yield _stars(x, y, list(index))
 
     return pairs.mapInArrow(run, "a binary, b binary")
 

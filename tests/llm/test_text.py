@@ -93,9 +93,10 @@ def expected_near(k, similarity):
     return sets, components(links, TEXT)
 
 
-@pytest.mark.parametrize(("k", "chunk"), [(2, 4096), (5, 4096), (2, 5)])
+@pytest.mark.parametrize(("k", "chunk"), [(2, 2048), (5, 2048), (2, 5)])
 def test_near_duplicates(docs, k, chunk, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "BLOCK", min(chunk, 512))
     sets, root = expected_near(k, 0.8)
     got = minhash.near_duplicates(docs, words=k).collect()
     assert len(got) == len(ROWS) and len(set(root.values())) < len(ROWS) - 20
@@ -109,6 +110,14 @@ def test_near_duplicates_edges(empty, nulls):
     assert got == {(None, 0, None, True): 2, (None, 2, 7, False): 1, (7, 0, 7, True): 1, (7, 2, 7, True): 1}
 
 
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(n)] for n in (9, 5))
+    assert minhash.overlaps(a, b).tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+    assert minhash.overlaps(a[:2], b[:1]).tolist() == [[len(set(x) & set(y)) for y in b[:1]] for x in a[:2]]
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     for n, share in ((2000, 0.9), (500, 0.8), (60, 0.8)):
@@ -141,8 +150,9 @@ def expected_repeats(length):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_repeats(docs, small, monkeypatch):
+@pytest.mark.parametrize(("small", "hot"), [(False, 64), (True, 64), (True, 2), (False, 3)])
+def test_repeats(docs, small, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", hot)
     if small:  # many packs and slices
         monkeypatch.setattr(suffix, "PACK", 3000)
         monkeypatch.setattr(suffix, "SLICE", 512)
