@@ -90,7 +90,8 @@ def runs(raw: np.ndarray, starts: np.ndarray, length: int) -> dict[str, np.ndarr
         p = anchor[s0]
         text = (prefix[s1 + length] - prefix[s0]) * t["down"][s0]
         shape = ((s1 - s0) * 64 + (p - s0)).astype(np.uint64)
-        out.append((s0 + at, s1 + at, doc[s0], h[p], (_mixed(text ^ _mixed(shape + np.uint64(7))) >> np.uint64(32)).astype(np.uint32)))
+        # least hashes are small numbers: mixed again they spread over all groups
+        out.append((s0 + at, s1 + at, doc[s0], _mixed(h[p] + np.uint64(K)), (_mixed(text ^ _mixed(shape + np.uint64(7))) >> np.uint64(32)).astype(np.uint32)))
     names = ("s0", "s1", "doc", "h", "c")
     if not out:
         return dict(zip(names, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)), strict=True))
