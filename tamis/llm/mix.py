@@ -6,6 +6,8 @@ divided by the source's weight. All are then served in the order of that time un
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,14 +89,14 @@ def _cut(timed: DataFrame, cap: int) -> tuple[float, bool]:
         sums = inside.groupBy(step.alias("step")).agg(F.sum("size").alias("s"), F.count("*").alias("rows"))
         at = sums.withColumn("before", F.sum("s").over(Window.orderBy("step")) - F.col("s") + F.lit(done)).where(F.col("before") <= F.lit(budget)).orderBy(F.desc("step")).first()
         if at is None:
-            return low, low > 0
+            return math.nextafter(low, -1.0), low > 0
         low, width, done = low + at["step"] * width / STEPS, width / STEPS, float(at["before"])
         if at["rows"] <= RANGE_ROWS or width < 1e-12:
             break
     run = F.sum("size").over(Window.orderBy("f", "tie", "key").rowsBetween(Window.unboundedPreceding, 0))
     inside = served.where((F.col("f") >= F.lit(low)) & (F.col("f") < F.lit(low + width)))
     last = inside.withColumn("run", run - F.col("size") / 2).where(F.col("run") + F.lit(done) <= F.lit(budget)).agg(F.max("f")).first()[0]
-    return (low if last is None else last), True
+    return (math.nextafter(low, -1.0) if last is None else last), True
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
