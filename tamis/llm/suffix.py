@@ -8,7 +8,8 @@ bucketed by their first eight bytes, then refined by pairs of bucket numbers at
 bytes, each from the numbers before it.
 
 Texts travel in packs of a few MB; a pack sends one entry for each kind of run, with its smallest document, to each of a
-fixed number of bucket groups. So a passage in very many documents makes as many entries as there are packs. An anchor with
+fixed number of bucket groups. So a passage in very many documents makes as many entries as there are packs. Runs of one kind
+in that smallest document are compared once; what is found holds at all their places. An anchor with
 many kinds of runs, such as one in a line that stands between ever different others, would fill one group: its strings are
 dealt out one by one instead, by two hashes of all their bytes, and each pack sends equal ones once.
 """
@@ -114,6 +115,11 @@ def _unpack(keys: bytes, starts: bytes, blob: bytes) -> tuple[np.ndarray, np.nda
     return np.frombuffer(keys, np.int64), starts_, np.frombuffer(zstandard.decompress(blob, max_output_size=max(1, int(starts_[-1]))) if starts_[-1] else b"", np.uint8)
 
 
+def _count(n: np.ndarray) -> np.ndarray:
+    """0, 1 ... n[0] - 1, 0, 1 ... n[1] - 1 and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intervals [first, last) merged where they touch."""
     if not len(first):
@@ -261,36 +267,46 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                     i, j = cut[x["g"]], cut[x["g"] + 1]
                     for n, f in flags.items():
                         f[i:j] = np.unpackbits(np.frombuffer(x[n], np.uint8), count=j - i)
-                gone, hot = flags["gone"], rep[flags["ask"] & flags["hot"]]
+                gone, hot = flags["gone"], np.flatnonzero(flags["ask"] & flags["hot"])
                 ask = flags["ask"] & ~flags["hot"]
-                off = gone[kind] | (keys[r["doc"]] > keys[r["doc"][rep]][kind])
+                least = keys[r["doc"][rep]][kind]
+                off = gone[kind] | (keys[r["doc"]] > least)
+                # a kind's runs in its smallest document: one is sent, with the places of all
+                own = np.flatnonzero(flags["ask"][kind] & (keys[r["doc"]] == least))
+                own = own[np.argsort(kind[own], kind="stable")]
+                place, times = r["s0"][own], np.bincount(kind[own], minlength=len(rep))
+                head = np.cumsum(times) - times
                 # strings of hot anchors: equal ones go once, with the smallest document; those in larger ones are settled
-                count = r["s1"][hot] - r["s0"][hot] + 1
-                start = np.repeat(r["s0"][hot] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)[: len(hot)], count) + np.arange(count.sum())
-                doc = np.repeat(keys[r["doc"][hot]], count)
-                one, two = _whole(raw, start, length)
+                count = r["s1"][rep[hot]] - r["s0"][rep[hot]] + 1
+                of, nth = np.repeat(hot, count), _count(count)
+                doc = keys[r["doc"][rep[of]]]
+                one, two = _whole(raw, r["s0"][rep[of]] + nth, length)
                 order = np.lexsort((doc, two, one))
-                one, two, doc, start = one[order], two[order], doc[order], start[order]
+                one, two, doc, of, nth = one[order], two[order], doc[order], of[order], nth[order]
                 new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
-                least = doc[new][np.cumsum(new) - 1] if len(doc) else doc
-                later = doc > least
-                first, last = _spans(np.concatenate([r["s0"][off], start[later]]), np.concatenate([r["s1"][off], start[later]]) + length)
-                one, two, doc, start = one[~later], two[~later], doc[~later], start[~later]
-                ends = cuts(one)
-                rows = [(0, -1, first.tobytes(), last.tobytes(), b"", b"", b"")]
+                later = doc > (doc[new][np.cumsum(new) - 1] if len(doc) else doc)
+                start = np.repeat(nth, times[of]) + place[np.repeat(head[of], times[of]) + _count(times[of])]
+                settled_ = np.repeat(later, times[of])
+                first, last = _spans(np.concatenate([r["s0"][off], start[settled_]]), np.concatenate([r["s1"][off], start[settled_]]) + length)
+                start = start[~settled_]
+                many = np.add.reduceat(np.where(later, 0, times[of]), np.flatnonzero(new)) if len(of) else times[of]
+                one, two, doc = one[new], two[new], doc[new]
+                ends, begin = cuts(one), np.append(0, np.cumsum(many))
+                rows = [(0, -1, first.tobytes(), last.tobytes(), b"", b"", b"", b"")]
                 for g in range(groups):
-                    some = rep[cut[g] : cut[g + 1]][ask[cut[g] : cut[g + 1]]]
-                    if len(some):
+                    kinds = cut[g] + np.flatnonzero(ask[cut[g] : cut[g + 1]])
+                    if len(kinds):
+                        some, n = rep[kinds], times[kinds]
                         s0, size = r["s0"][some], r["s1"][some] - r["s0"][some] + length
-                        at = np.repeat(s0 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                        rows.append((1, g, s0.tobytes(), size.astype(np.uint32).tobytes(), keys[r["doc"][some]].tobytes(), r["h"][some].tobytes(), raw[at].tobytes()))
+                        at = np.repeat(s0, size) + _count(size)
+                        rows.append((1, g, place[np.repeat(head[kinds], n) + _count(n)].tobytes(), size.astype(np.uint32).tobytes(), keys[r["doc"][some]].tobytes(), r["h"][some].tobytes(), raw[at].tobytes(), n.astype(np.uint32).tobytes()))
                     if ends[g] < ends[g + 1]:
                         s = slice(ends[g], ends[g + 1])
-                        rows.append((2, g, start[s].tobytes(), two[s].tobytes(), doc[s].tobytes(), one[s].tobytes(), b""))
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(rows), pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True))], names=["b", "kind", "g", "x", "y", "z", "h", "raw"])
+                        rows.append((2, g, start[begin[ends[g]] : begin[ends[g + 1]]].tobytes(), two[s].tobytes(), doc[s].tobytes(), one[s].tobytes(), b"", many[s].astype(np.uint32).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([b] * len(rows), pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True))], names=["b", "kind", "g", "x", "y", "z", "h", "raw", "n"])
 
     asked = packs.select("b", "keys", "starts", "blob").join(answers, "b").select("b", "keys", "starts", "blob", "answers")
-    settled = Stage(asked.mapInArrow(settle, "b long, kind int, g int, x binary, y binary, z binary, h binary, raw binary"), "settled").df
+    settled = Stage(asked.mapInArrow(settle, "b long, kind int, g int, x binary, y binary, z binary, h binary, raw binary, n binary"), "settled").df
     judged.drop()
 
     def compare(table: pa.Table) -> pa.Table:
@@ -298,7 +314,9 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         size = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("y").to_pylist()]
         pack_ = np.repeat(np.arange(len(size)), [len(x) for x in size])
         size = np.concatenate(size)
-        s0, doc = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(n).to_pylist()]) for n in ("x", "z"))
+        place, doc = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(n).to_pylist()]) for n in ("x", "z"))
+        times = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64)
+        places = np.cumsum(times) - times
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()])
         raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -318,10 +336,14 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
             least = np.minimum.reduceat(doc[k][of][by], np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)))
             off = np.flatnonzero(doc[k][of] > least[bucket])
             if len(off):
-                of, start = of[off], s0[k][of[off]] + nth[off]
+                of, start = of[off], nth[off]
                 first = np.append(True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1))
                 at = np.flatnonzero(first)
-                found.append((pack_[k][of[at]], start[at], start[np.append(at[1:], len(start)) - 1] + length))
+                low, high, of = start[at], start[np.append(at[1:], len(start)) - 1] + length, k[of[at]]
+                # what is found in a run holds at all its places
+                n = times[of]
+                here = place[np.repeat(places[of], n) + _count(n)]
+                found.append((np.repeat(pack_[of], n), here + np.repeat(low, n), here + np.repeat(high, n)))
         out = []
         if found:
             of, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -336,11 +358,13 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         """Strings of hot anchors: those that start in a smaller document, as spans of a pack."""
         names = table.column("b").to_pylist()
         start, doc, one = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in (("x", np.int64), ("z", np.int64), ("h", np.uint64)))
-        two = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("y").to_pylist()])
+        two, times = (np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(n).to_pylist()]) for n in ("y", "n"))
         of = np.repeat(np.arange(len(names)), [len(x) // 8 for x in table.column("x").to_pylist()])
         order = np.lexsort((doc, two, one))
         new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
-        off = order[doc[order] > doc[order][new][np.cumsum(new) - 1]]
+        later = np.zeros(len(order), bool)
+        later[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+        off = np.flatnonzero(np.repeat(later, times))
         out = []
         for i in np.unique(of[off]):
             at = start[off[of[off] == i]]
@@ -348,8 +372,8 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
             out.append((names[i], x.tobytes(), y.tobytes()))
         return pa.table({"b": pa.array([x[0] for x in out], pa.int64()), "x": pa.array([x[1] for x in out], pa.binary()), "y": pa.array([x[2] for x in out], pa.binary())})
 
-    strings = settled.where("kind = 2").select("b", "g", "x", "y", "z", "h").groupBy("g").applyInArrow(match, "b long, x binary, y binary")
-    fine = settled.where("kind = 1").select("b", "g", "x", "y", "z", "h", "raw").groupBy("g").applyInArrow(compare, "b long, x binary, y binary")
+    strings = settled.where("kind = 2").select("b", "g", "x", "y", "z", "h", "n").groupBy("g").applyInArrow(match, "b long, x binary, y binary")
+    fine = settled.where("kind = 1").select("b", "g", "x", "y", "z", "h", "raw", "n").groupBy("g").applyInArrow(compare, "b long, x binary, y binary")
     spans = settled.where("kind = 0").select("b", "x", "y").unionByName(fine).unionByName(strings).groupBy("b").agg(F.collect_list(F.struct("x", "y")).alias("spans"))  # two for each group and one more
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,6 +170,35 @@ def test_repeats(docs, small, hot, monkeypatch):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False)) and (r.n, r.t, r.key) == (2, "t", "k")
 
 
+def brute_repeats(rows, length=50):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        raw, mine = t.encode(), set()
+        off = np.zeros(len(raw), bool)
+        for j in range(len(raw) - length + 1):
+            if raw[j : j + length] in seen:
+                off[j : j + length] = True
+            mine.add(raw[j : j + length])
+        seen |= mine
+        out[i] = bytes(np.frombuffer(raw, np.uint8)[~off])
+    return out
+
+
+@pytest.mark.parametrize("hot", [64, 2])
+def test_repeats_within_a_document(spark, hot, monkeypatch):
+    """A passage that a document repeats in like surroundings, and a smaller document holds in others, goes everywhere."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    rows = []
+    for n in range(50, 60):
+        a, p, c = text(60), text(n), text(60)
+        rows += [(100 * n, text(60) + p + text(60)), (100 * n + 1, (a + p + c) * 2), (100 * n + 2, text(30) + (p + c) * 3 + a)]
+    got = {r.doc_id: bytes(r.kept) for r in suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_repeats(rows)
+    assert got == want and len(want[5501]) == len(rows[16][1]) - 110
+
+
 def test_refined_buckets():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 99, 3000).astype(np.uint8)
