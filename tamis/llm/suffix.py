@@ -55,7 +55,7 @@ def _prepared(length: int) -> dict[str, np.ndarray]:
 
 
 def runs(raw: np.ndarray, starts: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """The runs of a pack: first and last string start, document number, anchor hash, hash of the run with all its bytes."""
+    """The runs of a pack: first and last string start, document number, anchor hash, 64-bit hash of the run's bytes and shape."""
     t = _prepared(length)
     grams = length - GRAM + 1
     ends = starts[1:]
@@ -92,10 +92,10 @@ def runs(raw: np.ndarray, starts: np.ndarray, length: int) -> dict[str, np.ndarr
         text = (prefix[s1 + length] - prefix[s0]) * t["down"][s0]
         shape = ((s1 - s0) * 64 + (p - s0)).astype(np.uint64)
         # least hashes are small numbers: mixed again they spread over all groups
-        out.append((s0 + at, s1 + at, doc[s0], _mixed(h[p] + np.uint64(K)), (_mixed(text ^ _mixed(shape + np.uint64(7))) >> np.uint64(32)).astype(np.uint32)))
+        out.append((s0 + at, s1 + at, doc[s0], _mixed(h[p] + np.uint64(K)), _mixed(text ^ _mixed(shape + np.uint64(7)))))
     names = ("s0", "s1", "doc", "h", "c")
     if not out:
-        return dict(zip(names, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)), strict=True))
+        return dict(zip(names, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)), strict=True))
     return dict(zip(names, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
 
 
@@ -231,7 +231,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         h = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
         sizes = [len(x) for x in h]
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("d").to_pylist()])
-        h, c = np.concatenate(h), np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("c").to_pylist()])
+        h, c = np.concatenate(h), np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("c").to_pylist()])
         gone, ask, hot = (np.zeros(len(h), bool) for _ in range(3))
         if len(h):
             order = np.lexsort((doc, c, h))

@@ -199,6 +199,16 @@ def test_repeats_within_a_document(spark, hot, monkeypatch):
     assert got == want and len(want[5501]) == len(rows[16][1]) - 110
 
 
+def test_runs_that_differ_stay(spark):
+    """Runs around one frequent line whose hashes agree in their upper 32 bits are not equal."""
+    line = "before the line: the very frequent line that stands here"
+    pairs = [("084488", "0058465", "119806", "0740870"), ("026151", "0089148", "303539", "0718132"), ("063347", "0643390", "345049", "0434835"), ("200850", "0526380", "248759", "0916614")]
+    rows = [(2 * i + j, f"{p[2 * j]} {line} and {p[2 * j + 1]} after") for i, p in enumerate(pairs) for j in (0, 1)]
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        got = {r.doc_id: bytes(r.kept) for r in suffix.dedup(spark.createDataFrame([a, b], "doc_id long, text string")).collect()}
+        assert got == brute_repeats([a, b])
+
+
 def test_refined_buckets():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 99, 3000).astype(np.uint8)
