@@ -10,6 +10,10 @@ with a centre of the key's classes, and the nearest such pair of each is verifie
 different components, all pairs between those are estimated; what passes ties components to clusters, and in each cluster
 the full sets of the classes concerned are compared block by block. So no group's pairs are ever rows, and no pair that
 shares a key and passes the estimate is left out.
+
+Small sets fill few registers, and one shingle can change them all. So sets of at most FEW shingles also meet in an exact
+way: under the rarest of their own shingles, so many that two sets that reach the similarity share one. There, full sets
+are compared at once, without an estimate.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ SLACK = 4.5
 CHUNK = 2048
 #: Classes, and bytes of sets, of a block; shingles that two blocks are compared by at a time.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 4 << 20, 2048
+#: Sets of at most so many shingles are also compared exactly wherever they share one of their rarest.
+FEW = 96
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,16 +129,16 @@ def least_estimate(similarity: float, n: np.ndarray, m: np.ndarray) -> np.ndarra
 
 
 def _signed(df: DataFrame, text: str, key: str, k: int) -> DataFrame:
-    """(key, n, node, regs): node is a 128-bit hash of the set, null for an empty one."""
+    """(key, n, node, regs, few): node is a 128-bit hash of the set, null for an empty one; few a small set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingles(batch.column(1).to_pylist(), k))
             regs = registers(sets)
             node = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())], names=["key", "n", "node", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary()), pa.array([s.tobytes() if 0 < len(s) <= FEW else None for s in sets], pa.binary())], names=["key", "n", "node", "regs", "few"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {dict(df.dtypes)[key]}, n long, node binary, regs binary")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {dict(df.dtypes)[key]}, n long, node binary, regs binary, few binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -232,19 +238,65 @@ def _stars(x: np.ndarray, y: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([names[i] for i in tied], pa.binary()), pa.array([names[root[i]] for i in tied], pa.binary())], names=["a", "b"])
 
 
-def _contested(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(kind, a, b) of classes of different components that share a key and may reach the similarity: kind 0 ties
-    components a and b, a star for each tree of a key; kind 1 says that class a of component b is in such a pair."""
+def _cells(keys: DataFrame, comps: DataFrame, by: list[str]) -> DataFrame:
+    """(by, cell, part, node, comp) of keys whose classes lie in different components; each two parts of a key's classes
+    meet in a cell of their own."""
     rows = keys.join(comps, "node")
-    by = ["band", "slot"]
     sums = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     rows = rows.join(sums, by)
-    # each two parts of a key's classes meet in a cell of their own
     parts = F.ceil(F.col("rows") / CHUNK).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part")))
-    rows = rows.withColumn("cell", F.explode(cells))
-    rows = rows.select(*by, "cell", "part", "node", "comp").join(classes.select("node", "n", "regs"), "node").select(*by, "cell", "part", "node", "comp", "n", "regs")
+    return rows.withColumn("cell", F.explode(cells)).select(*by, "cell", "part", "node", "comp")
+
+
+def _rarest(classes: DataFrame, similarity: float) -> DataFrame:
+    """(slot, node): of each small class so many of its rarest shingles that two that reach the similarity share one; those
+    in one small class only are left out."""
+    each = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.substring(F.col("few"), i * 8 - 7, F.lit(8)))
+    rows = classes.where("few is not null").select("node", "n", F.explode(each).alias("slot"))
+    counts = rows.groupBy("slot").agg(F.count("*").alias("c")).where("c > 1")
+    rows = rows.join(counts, "slot", "left").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "slot"))).alias("s"))
+    need = F.ceil(F.col("n") * round(100 * similarity) / 100 - F.lit(1e-9))
+    rows = rows.select("node", F.explode(F.slice("s", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("s"))
+    return rows.where("s.c > 1").select(F.col("s.slot").alias("slot"), "node")
+
+
+def _exact(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components, from the full sets of small classes that share a key."""
+    rows = _cells(keys, comps, ["slot"]).join(classes.select("node", "few"), "node").select("slot", "cell", "part", "comp", "few")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (part, comp, few) in _groups(batches, 2):
+            index: dict[bytes, int] = {}
+            c = np.array([index.setdefault(x, len(index)) for x in comp])
+            if len(index) < 2:
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in few]
+            n, low = np.array([len(x) for x in sets]), np.array(part) == min(part)
+            left = np.flatnonzero(low)
+            right = left if low.all() else np.flatnonzero(~low)
+            ties = []
+            for i in range(0, len(left), BLOCK):
+                for j in range(i if low.all() else 0, len(right), BLOCK):
+                    p, q = left[i : i + BLOCK], right[j : j + BLOCK]
+                    small, large = np.minimum(n[p, None], n[q]), np.maximum(n[p, None], n[q])
+                    ok = (c[p, None] != c[q]) & _reach(small, small, large, similarity)
+                    if ok.any():
+                        x, y = np.nonzero(ok & _reach(overlaps([sets[k] for k in p], [sets[k] for k in q]), n[p, None], n[q], similarity))
+                        ties.append(np.unique(c[p[x]] * len(index) + c[q[y]]))
+            found = np.unique(np.concatenate(ties)) if ties else np.empty(0, np.int64)
+            if len(found):
+                yield _stars(found // len(index), found % len(index), list(index))
+
+    return rows.repartition("slot", "cell").sortWithinPartitions("slot", "cell").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _contested(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(kind, a, b) of classes of different components that share a key and may reach the similarity: kind 0 ties
+    components a and b, a star for each tree of a key; kind 1 says that class a of component b is in such a pair."""
+    by = ["band", "slot"]
+    rows = _cells(keys, comps, by).join(classes.select("node", "n", "regs"), "node").select(*by, "cell", "part", "node", "comp", "n", "regs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (part, node, comp, n, regs) in _groups(batches, 3):
@@ -363,7 +415,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     """
     tune(df.sparkSession)
     rows = stage(_signed(df, text, key, words), "registers")
-    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("few").alias("few")), "classes")
     keys = _keys(classes)
     shared = keys.groupBy("band", "slot").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1").drop("c")
     keys = stage(keys.join(shared, ["band", "slot"]).select("band", "slot", "node", "centre"), "keys")
@@ -377,7 +429,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     nodes = contested.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("comp")).join(clusters, "comp")
     nodes = stage(nodes.join(classes.select("node", "key"), "node").select("cluster", "comp", "node", "key"), "nodes")
     more = _linked(nodes.drop("key"), _sets(nodes, df, text, key, words), similarity)
-    roots = components(stage(more, "links")).select(F.col("node").alias("comp"), "root")
+    few = _exact(stage(_rarest(classes, similarity), "rarest"), comps.select("node", "comp"), classes, similarity)
+    roots = components(stage(more.unionByName(few), "links")).select(F.col("node").alias("comp"), "root")
     comps = comps.join(roots, "comp", "left").select("node", "key", F.coalesce("root", "comp").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("key").alias("component_id"))
     of = stage(comps.join(least, "comp").select("node", "component_id"), "components")

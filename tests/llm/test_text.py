@@ -104,6 +104,36 @@ def test_near_duplicates(docs, k, chunk, monkeypatch):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize("chunk", [2048, 20])
+def test_short_near_duplicates(spark, chunk, monkeypatch):
+    """Pairs at the threshold whose sets fill few registers, with words in common with all others."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "BLOCK", min(chunk // 3, 512))
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        n = 5 * rng.randint(1, 4)
+        own = [f"w{rng.randrange(10**9)}" for _ in range(n + 1)]
+        if i % 4 == 0:
+            own[1:3] = "of", "the"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[: -n // 5]))]
+    apart = 0
+    while apart < 10:  # pairs without a band in common
+        own = [f"w{rng.randrange(10**9)}" for _ in range(6)]
+        texts = [" ".join(own), " ".join(own[:-1])]
+        x, y = minhash.registers(list(minhash.shingles(texts, 2))).reshape(2, minhash.BANDS, -1)
+        if not (x == y).all(1).any():
+            rows += [(2000 + 2 * apart, texts[0]), (2001 + 2 * apart, texts[1])]
+            apart += 1
+    rows += [(900 + i, f"of the {i % 7} of the") for i in range(40)]
+    sets = {i: shingled(t, 2) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(links, sets)
+    assert len(links) >= 400
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == want
+
+
 def test_near_duplicates_edges(empty, nulls):
     assert minhash.near_duplicates(empty).count() == 0
     got = collections.Counter(tuple(r) for r in minhash.near_duplicates(nulls, words=2).collect())
