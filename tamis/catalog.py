@@ -114,8 +114,10 @@ def _cases() -> dict[str, Case]:
         "ref_unicode": Case("documents", text, messy.format(zw=8203, acute=769).replace("chr(8203)", "decode(unhex('E2808B'), 'UTF-8')").replace("chr(769)", "decode(unhex('CC81'), 'UTF-8')"), lambda: Unicode, "md5(cast(cleaned as binary))", "md5(nfc_normalize(replace(replace(x, chr(8203), ''), chr(13) || chr(10), chr(10))))", "''", messy.format(zw=8203, acute=769)),
         "ref_bytestring": Case("documents", text, "text", lambda: ByteString, "md5(cleaned)", "md5(x)"),
         "ref_bytearray": Case("documents", text, "substr(text, 1, 30)", lambda: ByteArray("iso-8859-1"), "octet_length(cleaned)", "CASE WHEN NOT regexp_matches(x, '[^\\x{0}-\\x{FF}]') THEN length(x) END", "CASE WHEN regexp_matches(x, '[^\\x{0}-\\x{FF}]') THEN ':bad_encoding' ELSE '' END"),
+        "ref_bytearray_whole": Case("documents", text, "text", lambda: ByteArray("iso-8859-1"), "octet_length(cleaned)", "CASE WHEN NOT regexp_matches(x, '[^\\x{0}-\\x{FF}]') THEN length(x) END", "CASE WHEN regexp_matches(x, '[^\\x{0}-\\x{FF}]') THEN ':bad_encoding' ELSE '' END"),
         "ref_maxbytes": Case("part", "p_partkey", "p_name", lambda: MaxBytes(10, prefix="..."), "cast(cleaned as string)", "CASE WHEN length(x) <= 10 THEN x ELSE substr('...' || x, 1, 10) END", "CASE WHEN length(x) > 10 THEN ':too_long' ELSE '' END"),
         "ref_base64": Case("documents", text, b64, lambda: Base64Decode, "cast(cleaned as string)", "CASE WHEN id % 5 <> 0 THEN x END", "CASE WHEN id % 5 = 0 THEN ':not_base64' ELSE '' END", "substr(text, 1, 40)"),
+        "ref_base64_whole": Case("documents", text, b64.replace("substr(text, 1, 40)", "text"), lambda: Base64Decode, "md5(cleaned)", "CASE WHEN id % 5 <> 0 THEN md5(x) END", "CASE WHEN id % 5 = 0 THEN ':not_base64' ELSE '' END", "text"),
         "ref_uuid": Case("documents", text, hexes, lambda: Uuid, "cleaned", f"CASE WHEN length({bare}) = 32 THEN {dashed} END", f"CASE WHEN length({bare}) <> 32 THEN ':not_uuid' ELSE '' END", hexes_duck),
         "ref_uuid_version": Case("documents", text, hexes, lambda: Uuid(4), "cleaned", f"CASE WHEN regexp_matches({bare}, '^[0-9a-f]{{12}}4[0-9a-f]{{3}}[89ab][0-9a-f]{{15}}$') THEN {dashed} END", f"CASE WHEN length({bare}) <> 32 THEN ':not_uuid' WHEN NOT regexp_matches({bare}, '^[0-9a-f]{{12}}4[0-9a-f]{{3}}[89ab]') THEN ':wrong_version' ELSE '' END", hexes_duck),
         "ref_ip": Case("customer", "c_custkey", address[0], lambda: IpAddress, "cleaned", PLAIN.format(f"regexp_matches(x, '^{OCTET}(\\.{OCTET}){{3}}$')"), f"CASE WHEN NOT regexp_matches(x, '^{OCTET}(\\.{OCTET}){{3}}$') THEN ':not_ip_address' ELSE '' END", address[1]),

@@ -1,5 +1,6 @@
 """Queries against SQL, sinks and streams."""
 
+import hashlib
 import logging
 
 import duckdb
@@ -32,6 +33,18 @@ def test_query(spark, duck, name):
     assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(map(tuple, want), key=str)
 
 
+@pytest.mark.parametrize("name", ["ref_base64_whole", "ref_bytearray_whole"])
+def test_whole_texts(spark, tmp_path, name):
+    """What stands behind the first 30 or 40 characters counts."""
+    texts = {1: "a" * 45 + "é", 2: "a" * 45 + "я", 3: "b" * 5000 + "漢", 4: "", 6: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: (r.cleaned, r.codes) for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    if name == "ref_base64_whole":
+        assert got == {i: (None if t is None else hashlib.md5(t.encode()).hexdigest(), "") for i, t in texts.items()}
+    else:
+        assert got == {1: (46, ""), 2: (None, ":bad_encoding"), 3: (None, ":bad_encoding"), 4: (0, ""), 6: (None, "")}
+
+
 def test_every_query_has_sql():
     assert catalog.queries().keys() == catalog.oracle_sql().keys()
 
