@@ -25,6 +25,32 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
+_GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {which} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {which} for more details."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+#: Texts of licences and headers over several lines: the words that open them, and their wordings.
+HEADERS = {
+    "AGPL-3.0": ["is free software", _GNU.format(what="program", which="Affero General Public License", version="3")],
+    "Apache-2.0": ["licensed under the apache license version 2.0 the", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
+    "BSD-2-Clause": ["redistribution and use in source and binary forms", _BSD.format("")],
+    "BSD-3-Clause": ["redistribution and use in source and binary forms", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")],
+    "GPL-2.0": ["is free software", _GNU.format(what="program", which="General Public License", version="2")],
+    "GPL-3.0": ["is free software", _GNU.format(what="program", which="General Public License", version="3")],
+    "ISC": ["permission to use copy modify and", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
+    "LGPL-2.1": ["is free software", _GNU.format(what="library", which="Lesser General Public License", version="2.1")],
+    "LGPL-3.0": ["is free software", _GNU.format(what="library", which="Lesser General Public License", version="3")],
+    "MIT": ["permission is hereby granted free of charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"],
+}
+#: Titles of licence texts, each as a line or two of its own.
+TITLES = {
+    "Apache-2.0": r"Apache License\s+Version 2\.0, January 2004",
+    "BSD-3-Clause": r"BSD 3-Clause (\"New\" or \"Revised\" )?License",
+    "GPL-2.0": r"GNU GENERAL PUBLIC LICENSE\s+Version 2, June 1991",
+    "GPL-3.0": r"GNU GENERAL PUBLIC LICENSE\s+Version 3, 29 June 2007",
+    "ISC": r"(The )?ISC License",
+    "MIT": r"(The )?MIT License( \(MIT\))?",
+    "MPL-2.0": r"Mozilla Public License,? Version 2\.0",
+}
+OPENING = r"(?i)hereby\s+granted|redistribution\s+and\s+use|free\s+software|under\s+the\s+apache|permission\s+to\s+use"
 #: A segment is looked at if it matches MENTION; its cosine must reach THRESHOLD.
 MENTION = r"(?i)licen[sc]|copyright|spdx|\bcc0?\b|public domain|creative commons"
 THRESHOLD = 0.75
@@ -77,23 +103,37 @@ def _best(tokens: Column, templates: dict[str, list[str]]) -> Column:
     return F.aggregate(F.array(*scores[1:]), scores[0], lambda a, s: F.when(s["score"] > a["score"], s).otherwise(a)) if len(scores) > 1 else scores[0]
 
 
+def _headers(text: Column) -> Column:
+    """struct(score, license) of the licence text or header in a text that is nearest to one of HEADERS or has a title; null if none is."""
+    templates = {name: [t] for name, (_, t) in HEADERS.items()}
+    spoken = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), " ")
+    # windows of a wording's length from the words that open it: how lines are broken or marked as comments makes no difference
+    spans = sorted({(opening, len(words(t)) - len(opening.split(" "))) for opening, t in HEADERS.values()})
+    windows = F.array_distinct(F.concat(*[F.regexp_extract_all(spoken, F.lit(rf"(?:this \w+ )?{opening.replace('.', '[.]')}(?: \S+){{0,{n}}}"), F.lit(0)) for opening, n in spans]))
+    near = F.filter(F.transform(windows, lambda w: F.transform(F.array(F.split(w, " ")), lambda t: _best(t, templates))[0]), lambda s: s["score"] >= THRESHOLD)
+    near = F.when(text.rlike(OPENING), near).otherwise(F.array().cast("array<struct<score:double,license:string>>"))
+    titles = [F.when(text.rlike(rf"(?im)^\W*{t}\W*$"), F.struct(F.lit(1.0).alias("score"), F.lit(name).alias("license"))) for name, t in TITLES.items()]
+    every = F.filter(F.concat(near, F.array(*titles)), lambda s: s.isNotNull())
+    return F.aggregate(every, F.lit(None).cast("struct<score:double,license:string>"), lambda a, s: F.when(a.isNull() | (s["score"] > a["score"]) | ((s["score"] == a["score"]) & (s["license"] < a["license"])), s).otherwise(a))
+
+
 def scan(df: DataFrame, text: str = "text", path: str = "path", key: str = "doc_id", templates: dict[str, list[str]] | None = None) -> DataFrame:
     """(key, path, license, score, basis, license_path) for each row.
 
     basis is `notice` if the text itself has a segment near enough to a template (license and score are the best, ties to the
-    smaller name), else `inherited` if a licence file (by its name) with a notice lies in the row's directory or the nearest
+    smaller name) or, where none is, a licence text, header or title of HEADERS and TITLES, judged alike; else `inherited` if a licence file (by its name) with a notice lies in the row's directory or the nearest
     one above that has any (of several there the best score, then the smaller path), else `none` with null license and
     score 0. A null path is a file of no directory: it inherits nothing. A null or empty text has no notice. Texts are read
     whole. Repeated rows are judged alike; extra columns are not read; an empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
     segments = F.filter(F.split(F.col(text), r"\n|(?<=[.!;])\s+"), lambda s: s.rlike(MENTION))
-    rows = df.select(F.col(key).alias("key"), F.col(path).alias("path"), segments.alias("segments"))
+    rows = df.select(F.col(key).alias("key"), F.col(path).alias("path"), segments.alias("segments"), F.when(F.col(text).rlike(MENTION + "|" + OPENING[4:]), F.col(text)).alias("_text"))
     # rows without a mention, most of them, skip the weighing
     found = F.transform(F.col("segments"), lambda s: F.transform(F.array(F.regexp_extract_all(F.lower(s), F.lit(WORDS), F.lit(0))), lambda t: F.when(F.size(t) > 0, _best(t, templates)))[0])
     top = F.aggregate(found, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license")), lambda a, s: F.when((s["score"] > a["score"]) | ((s["score"] == a["score"]) & (s["license"] < a["license"])), s).otherwise(a))
     rows = rows.withColumn("own", F.when(F.size("segments") > 0, top))
-    rows = rows.select("key", "path", F.when(F.col("own.score") >= THRESHOLD, F.col("own")).alias("own"), F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))).alias("dir"))
+    rows = rows.select("key", "path", F.when(F.col("own.score") >= THRESHOLD, F.col("own")).when(F.col("_text").isNotNull(), _headers(F.col("_text"))).alias("own"), F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))).alias("dir"))
     files = rows.where(F.col("path").rlike(LICENCE_FILE) & F.col("own").isNotNull())
     best = files.groupBy("dir").agg(F.min(F.struct((-F.col("own.score")).alias("s"), F.col("path").alias("p"), F.col("own.license").alias("l"))).alias("b")).select(F.col("dir").alias("at"), "b")
     # each directory with files meets those above it, nearest first; files then meet their directory

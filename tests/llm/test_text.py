@@ -443,6 +443,16 @@ def test_licence_scores(spark):
         assert (got[i].score == pytest.approx(best)) if best >= license.THRESHOLD else (got[i].basis == "none")
 
 
+def test_licence_texts(spark):
+    """Titles, headers and licence texts over several lines, wrapped anew and marked as comments."""
+    import textwrap
+
+    rows = [(name, "int x;\n" + "\n".join(f" * {line}" for line in textwrap.wrap(t, 50)) + "\nother code") for name, (_, t) in license.HEADERS.items()]
+    rows += [("MIT", "MIT License\n\nCopyright (c) 2020 A"), ("GPL-3.0", "   GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n"), ("none", "I like the MIT license of this, and free software is good."), ("none", "Redistribution and use of water.")]
+    got = license.scan(spark.createDataFrame([(i, t, None) for i, (_, t) in enumerate(rows)], "doc_id int, text string, path string")).collect()
+    assert [(r.license or "none") for r in sorted(got, key=lambda r: r.doc_id)] == [name for name, _ in rows]
+
+
 def test_licences_edges(empty, nulls):
     assert license.scan(queries.licence_paths(empty)).count() == 0
     assert license.scan(queries.licence_paths(nulls)).count() == 5
