@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tamis.llm import bpe, langid, minhash, mix, suffix
 from tamis.llm.common import stage
@@ -28,13 +27,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id; of rows with one doc_id, one."""
+    """One document of each group of near copies stays, the one with the smallest doc_id (null is the largest). Rows count as
+    one document only if both doc_id and text are equal; unlike texts under one doc_id, or none, are documents of their own."""
     docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs.select("doc_id", "text"), "text", "doc_id", WORDS, SIMILARITY)
-    kept = kept.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
-    return stay.withColumn("_nth", nth).where("_nth = 1").select(*COLUMNS)
+    docs = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")))
+    kept = minhash.near_duplicates(docs.select("_key", "text"), "text", "_key", WORDS, SIMILARITY)
+    kept = kept.where("kept").select(F.col("_key").alias("_kept")).distinct()
+    stay = docs.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    return stay.groupBy("_key").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("d")).select(F.col("_key.id").alias("doc_id"), "d.*").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

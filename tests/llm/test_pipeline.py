@@ -51,6 +51,16 @@ def test_near_copies(steps):
     assert sorted(kept) == sorted(i for i in rows if root[i] == i)
 
 
+def test_near_copies_without_ids(spark):
+    """Unlike texts under a null or shared id all stay; equal rows and near copies go."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "one two three four five six"), (None, "quite another text of some words"), (None, "quite another text of some words"), (7, "seven has a first text here"), (7, "and seven has a second one too"), (9, long), (None, long + " more"), (None, "x " + long)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_copies(spark, docs, DATA)
+    assert got.columns == pipeline.COLUMNS
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([rows[0], rows[1], rows[3], rows[4], rows[5]])
+
+
 def _top(root, x):
     while root[x] != x:
         x = root[x]
