@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 from datetime import date, datetime
 from decimal import Decimal as Number
@@ -10,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: Unicode's white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Java's patterns work like Unicode-aware ones with only \n as line end under these flags.
 FLAGS = "(?Ud)"
 
@@ -61,18 +64,29 @@ def literal(x: object, t: T.DataType) -> Column | None:
     return None
 
 
-def folded(v: Column) -> Column:
-    """Text as str.casefold gives it: lower case, then what full case folding changes beyond that. The characters
-    concerned come from Python's own tables, by rule."""
+@functools.cache
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that full case folding changes after lower case, to one character and to several. From Python's own
+    tables, by rule; made once."""
     special = {c: c.casefold() for c in map(chr, range(128, sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and c.lower().casefold() != c.lower()}
     special |= {low: low.casefold() for c in list(special) for low in c.lower() if low.casefold() != low}
-    single = {c: f for c, f in sorted(special.items()) if len(f) == 1}
-    longer = {c: f for c, f in sorted(special.items()) if len(f) > 1 and c != "ß"}
-    text = F.replace(F.translate(F.lower(v), "".join(single), "".join(single.values())), F.lit("ß"), F.lit("ss"))
-    # the other characters that fold to several are rare: only texts with one go character by character
+    del special["ß"]
+    return {c: f for c, f in sorted(special.items()) if len(f) == 1}, {c: f for c, f in sorted(special.items()) if len(f) > 1}
+
+
+def folded(v: Column) -> Column:
+    """Text as str.casefold gives it: lower case and ss for ß; texts with a character that folds in another way, all but a
+    few of which lie beyond Latin and Greek letters in use, go through tables."""
+    single, longer = _foldings()
+    low = F.lower(v)
+    text = F.when(F.octet_length(v) == F.char_length(v), low).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
+    few = sorted(c for c in (*single, *longer) if ord(c) < 0x400)
+    rare = "[" + "".join(few) + "\\x{400}-\\x{10FFFF}]"
+    changed = F.translate(text, "".join(single), "".join(single.values()))
     table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c))
-    return F.when(text.rlike("[" + "".join(longer) + "]"), F.array_join(each, "")).otherwise(text)
+    each = F.transform(F.split(changed, ""), lambda c: F.coalesce(F.element_at(table, c), c))
+    slow = F.when(text.rlike("[" + "".join(longer) + "]"), F.array_join(each, "")).otherwise(changed)
+    return F.when((F.octet_length(v) != F.char_length(v)) & text.rlike(rare), slow).otherwise(text)
 
 
 def without_controls(v: Column) -> Column:

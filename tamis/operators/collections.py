@@ -267,14 +267,67 @@ class Fields(Step):
             raise TypeError("a step that needs Python can't be two collections deep")
         return super().elements(df, states, t)
 
+    def rows(self, df: DataFrame, v: Column, t: T.DataType, own: list[Column]) -> DataFrame:
+        """For `iterate`: a row for each declared key, then for each extra one that is allowed."""
+        got = self._source(v, t)
+        if got is None:
+            raise TypeError(f"a {t.simpleString()} has no keys")
+        held, all_ = fresh(), fresh()
+        df = df.withColumn(held, got[0])
+        source, inner = F.col(held), got[1]
+        parts = []
+        row = lambda k, value, kind, issues: F.struct(k.alias("key"), _variant(value, kind).alias("value"), issues.alias("issues"))
+        for k in self.steps:
+            first, kind, _ = self._key(k, source, inner, F.lit(""))
+            at = fresh()
+            df, last, new = self.item(k).column(df.withColumn(at, first), at, kind)
+            parts.append(F.array(row(F.lit(k), F.col(last)["value"], new, F.col(last)["issues"])))
+        more, fields, _ = self._rest(source, inner, F.lit(""))
+        for c, f in zip(more, fields, strict=True):
+            if isinstance(inner, T.StructType):
+                parts.append(F.array(row(F.lit(f.name), c, f.dataType, no_issues())))
+            else:
+                parts.append(F.transform(F.map_entries(c), lambda x: row(x["key"], x["value"], inner, no_issues())))
+        out = df.where(source.isNotNull()).withColumn(all_, F.explode(F.concat(*parts)))
+        return out.select(*own, F.col(all_)["key"].alias("key"), F.col(all_)["value"].alias("value"), F.col(all_)["issues"].alias("issues"))
+
+
+def _variant(v: Column, t: T.DataType) -> Column:
+    """Any value as a variant."""
+    if isinstance(t, T.VariantType):
+        return v
+    return F.variant_get(F.to_variant_object(F.struct(v.alias("v"))), "$.v", "variant")
+
 
 def iterate(df: DataFrame, column: str, step: object) -> DataFrame:
-    """A row for each element of an array column: pos, value and issues after the step; the lazy form of Each."""
-    out = df.select("*", F.posexplode(column).alias("pos", "_element"))
-    first = fresh()
-    t = df.schema[column].dataType.elementType
-    out, last, _ = to_step(step).column(out.withColumn(first, start(F.col("_element"), F.col("pos").cast("string"))), first, t)
-    return out.select(*df.columns, "pos", F.col(last)["value"].alias("value"), F.col(last)["issues"].alias("issues"))
+    """The lazy form of Each and Fields: a row for each element, with the columns of df, its place, value and issues.
+
+    An array's elements come with pos, from 0; the entries of a map, and of a variant taken as an object, with key. With a
+    Fields step, of a map, struct or variant: key, in the order of Fields, value as variant and issues; keys that aren't
+    allowed have no row, those that must be there and aren't a null with the issue `missing`. A null has no rows.
+    """
+    t = df.schema[column].dataType
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    v = F.col("`" + column.replace("`", "``") + "`")
+    step = to_step(step)
+    if isinstance(step, Fields):
+        return step.rows(df, v, t, own)
+    first, one = fresh(), fresh()
+    array = Each(None)._array(v, t)
+    if array is not None and not (isinstance(t, T.VariantType) and isinstance(step, Each) and step.of == "map"):
+        place, e = "pos", array[1]
+        out = df.select(*own, F.posexplode(array[0]).alias(place, one))
+        at = F.col(place).cast("string")
+    else:
+        entries = _entries(v, t)
+        if entries is None:
+            raise TypeError(f"a {t.simpleString()} has no elements of one type; give Fields")
+        place, e = "key", entries[1]
+        out = df.select(*own, F.explode(entries[0]).alias(place, one))
+        at = F.col(place)
+    inner = step.item() if isinstance(step, Each) else step
+    out, last, _ = inner.column(out.withColumn(first, start(F.col(one), at)), first, e)
+    return out.select(*own, place, F.col(last)["value"].alias("value"), F.col(last)["issues"].alias("issues"))
 
 
 __all__ = ["Each", "Fields", "iterate", "key_text"]

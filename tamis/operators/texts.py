@@ -167,24 +167,53 @@ class MaxBytes(Unicode):
         return Outcome(value, F.when(code.isNotNull(), F.array(issue(path, code, message, self.name, shown(v, t)))).otherwise(no_issues()), T.BinaryType())
 
 
-class ByteArray(Step):
+class ByteArray(Called):
     """Bytes, from text in the encoding, from bytes, or from an array of whole numbers from 0 to 255. Faults of an array
-    are reported at its elements."""
+    are reported at its elements. Encodings other than UTF-8, ASCII and Latin-1 run in Python."""
+
+    result = T.BinaryType()
 
     def __init__(self, encoding: str = "utf-8"):
         self.encoding = codecs.lookup(encoding).name
-        if self.encoding not in NATIVE:
-            raise ValueError(f"encoding is one of {', '.join(NATIVE)}")
+        self.python = self._call()
+
+    def _call(self) -> Callable:
+        encoding = self.encoding
+
+        def run(text: str) -> tuple[bytes | None, str | None]:
+            try:
+                return text.encode(encoding), None
+            except UnicodeEncodeError:
+                return None, "bad_encoding"
+
+        return run
+
+    def _in_python(self, t: T.DataType) -> bool:
+        return self.encoding not in NATIVE and isinstance(t, T.StringType)
 
     def compile(self, v: Column, t: T.DataType, path: Column) -> Outcome:
         if isinstance(t, T.ArrayType):
             return self._numbers(v, t, path)
+        if self.encoding not in NATIVE and isinstance(t, (T.StringType, T.VariantType)):
+            return super().compile(v, t, path)
         if isinstance(t, T.VariantType):
             array = kind_of(v).rlike("^ARRAY")
             a = self._numbers(F.when(array, F.try_variant_get(v, "$", "array<variant>")), T.ArrayType(t), path)
-            o = super().compile(F.when(~array, v), t, path)
+            o = Step.compile(self, F.when(~array, v), t, path)
             return Outcome(F.when(array, a.value).otherwise(o.value), F.when(array, a.issues).otherwise(o.issues), o.dtype)
-        return super().compile(v, t, path)
+        return Step.compile(self, v, t, path)
+
+    def column(self, df, state, t):
+        return super().column(df, state, t) if self._in_python(t) else Step.column(self, df, state, t)
+
+    def elements(self, df, states, t):
+        return super().elements(df, states, t) if self._in_python(t) else Step.elements(self, df, states, t)
+
+    def needs(self, v: Column, t: T.DataType) -> Column:
+        return v
+
+    def finish(self, v: Column, t: T.DataType, got: Column, path: Column) -> Outcome:
+        return self.outcome([(got["code"].isNotNull(), "bad_encoding", f"can't be encoded as {self.encoding}")], got["value"], T.BinaryType(), v, t, path)
 
     def tests(self, v: Column, t: T.DataType) -> list:
         if isinstance(t, T.BinaryType):
@@ -198,7 +227,7 @@ class ByteArray(Step):
             return v, t
         text = _text(v, t)[0]
         fits = F.when(text.rlike("[^\\x{0}-\\x{7F}]"), F.lit("")).otherwise(text) if self.encoding == "ascii" else F.when(text.rlike("[^\\x{0}-\\x{FF}]"), F.lit("")).otherwise(text) if self.encoding == "iso8859-1" else text
-        return F.encode(fits, NATIVE[self.encoding]), T.BinaryType()
+        return F.encode(fits, NATIVE.get(self.encoding, "UTF-8")), T.BinaryType()
 
     def _numbers(self, v: Column, t: T.ArrayType, path: Column) -> Outcome:
         e = t.elementType
@@ -241,24 +270,26 @@ class Base64Decode(Step):
     """Bytes from base64 text in bytes, of the standard or the URL-safe alphabet but not both. White space and missing or
     excess padding are forgiven."""
 
-    def _parts(self, v: Column) -> Column:
-        text = F.regexp_replace(v.cast("string"), r"[ \t\n\x0B\f\r]+", "")
-        return F.regexp_replace(text, "=+$", "")
+    def stages(self, t: T.DataType) -> list[Callable[[Column], Column]]:
+        if not isinstance(t, T.BinaryType):
+            return []
 
-    def _raw(self, v: Column) -> Column:
-        bare = F.translate(self._parts(v), "-_", "+/")
-        missing = F.pmod(-F.char_length(bare), F.lit(4))
-        return F.try_to_binary(F.concat(bare, F.repeat(F.lit("="), missing)), F.lit("base64"))
+        def bare(v: Column) -> Column:
+            text = F.regexp_replace(F.try_validate_utf8(v.cast("string")), r"[ \t\n\x0B\f\r]+", "")
+            return F.struct(v.isNotNull().alias("there"), F.rtrim(text, F.lit("=")).alias("bare"))
 
-    def tests(self, v: Column, t: T.DataType) -> list:
-        if not isinstance(t, T.BinaryType):
-            return [(v.isNotNull(), "wrong_type", "is not bytes")]
-        bare = self._parts(v)
-        mixed = bare.rlike("[+/]") & bare.rlike("[-_]")
-        return [(F.try_validate_utf8(v.cast("string")).isNull() & v.isNotNull(), "not_base64", "is not base64"), (~bare.rlike(r"\A[A-Za-z0-9+/_-]*\z") | mixed | (F.char_length(bare) % 4 == 1), "not_base64", "is not base64"), (v.isNotNull() & self._raw(v).isNull(), "not_base64", "is not base64")]
+        def raw(x: Column) -> Column:
+            bare = x["bare"]
+            known = bare.rlike(r"\A(?:[A-Za-z0-9+/]*|[A-Za-z0-9_-]*)\z") & (F.char_length(bare) % 4 != 1)
+            padded = F.concat(F.translate(bare, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.char_length(bare), F.lit(4))))
+            return F.struct(x["there"].alias("there"), F.when(known, F.try_to_binary(padded, F.lit("base64"))).alias("raw"))
 
-    def convert(self, v: Column, t: T.DataType) -> tuple[Column, T.DataType]:
-        return (self._raw(v) if isinstance(t, T.BinaryType) else F.lit(None).cast("binary")), T.BinaryType()
+        return [bare, raw]
+
+    def judge(self, v: Column, t: T.DataType, got: Column) -> tuple[list, Column, T.DataType]:
+        if not self.stages(t):
+            return [(v.isNotNull(), "wrong_type", "is not bytes")], F.lit(None).cast("binary"), T.BinaryType()
+        return [(got["there"] & got["raw"].isNull(), "not_base64", "is not base64")], got["raw"], T.BinaryType()
 
 
 class CaseFold(_OnText):
@@ -272,6 +303,9 @@ class JsonDecode(Called):
     """A variant from JSON text. JSON null becomes null. NaN, endless numbers and objects that name a key twice are no JSON
     here. decoder: a function from text to anything that json.dumps can write, for other dialects; it runs in Python."""
 
+    #: Fixed value: what a whole JSON text looks like from outside. What follows a complete value is not forgiven.
+    WHOLE = r"(?s)\A\s*(?:\{.*\}|\[.*\]|\"(?:[^\"\\]++|\\.)*+\"|-?[0-9][0-9.eE+-]*|true|false|null)\s*\z"
+
     def __init__(self, decoder: Callable | None = None):
         self.decoder = decoder
         self.python = self._call()
@@ -287,26 +321,36 @@ class JsonDecode(Called):
 
         return run
 
+    def stages(self, t: T.DataType) -> list[Callable[[Column], Column]]:
+        def read(v: Column) -> Column:
+            text = _text(v, t)[0]
+            return F.struct(text.isNotNull().alias("there"), F.when(text.rlike(self.WHOLE), F.try_parse_json(text)).alias("value"))
+
+        return [read]
+
+    def judge(self, v: Column, t: T.DataType, got: Column) -> tuple[list, Column, T.DataType]:
+        value, wrong = got["value"], _text(v, t)[1]
+        tests = [(wrong, "wrong_type", "is not text"), (got["there"] & value.isNull(), "not_json", "is not JSON")]
+        return tests, F.when(~F.is_variant_null(value), value), T.VariantType()
+
     def compile(self, v: Column, t: T.DataType, path: Column) -> Outcome:
-        return super().compile(v, t, path) if self.decoder else self.finish(v, t, None, path)
+        return Called.compile(self, v, t, path) if self.decoder else Step.compile(self, v, t, path)
 
     def column(self, df, state, t):
-        return super().column(df, state, t) if self.decoder else Step.column(self, df, state, t)
+        return Called.column(self, df, state, t) if self.decoder else Step.column(self, df, state, t)
+
+    def element(self, states, t):
+        return Step.element(self, states, t) if self.decoder else Step.element(self, states, t)
 
     def elements(self, df, states, t):
-        return super().elements(df, states, t) if self.decoder else Step.elements(self, df, states, t)
+        return Called.elements(self, df, states, t) if self.decoder else Step.elements(self, df, states, t)
 
     def needs(self, v: Column, t: T.DataType) -> Column:
         return _text(v, t)[0]
 
-    def finish(self, v: Column, t: T.DataType, got: Column | None, path: Column) -> Outcome:
-        text, wrong = _text(v, t)
-        # what follows a complete value is not forgiven
-        whole = r"(?s)\A\s*(\{.*\}|\[.*\]|\"(?:[^\"\\]|\\.)*\"|-?[0-9][0-9.eE+-]*|true|false|null)\s*\z"
-        value = F.try_parse_json(got["value"]) if self.decoder else F.when(text.rlike(whole), F.try_parse_json(text))
-        code = F.when(wrong, "wrong_type").when(text.isNotNull() & value.isNull(), "not_json")
-        message = F.when(code == "wrong_type", "is not text").otherwise("is not JSON")
-        return Outcome(F.when(~F.is_variant_null(value), value), F.when(code.isNotNull(), F.array(issue(path, code, message, self.name, shown(v, t)))).otherwise(no_issues()), T.VariantType())
+    def finish(self, v: Column, t: T.DataType, got: Column, path: Column) -> Outcome:
+        there = F.struct(_text(v, t)[0].isNotNull().alias("there"), F.try_parse_json(got["value"]).alias("value"))
+        return self.outcome(*self.judge(v, t, there), v, t, path)
 
 
 def _pattern(pattern: object) -> str:
@@ -393,29 +437,25 @@ class Strip(_OnText):
         return text, T.StringType()
 
 
-class Uuid(_OnText):
+class Uuid(Step):
     """A UUID in its canonical form, from text with or without dashes, braces or the urn:uuid: prefix."""
 
     def __init__(self, version: int | None = None):
         self.version = version
 
-    def _hex(self, text: Column) -> Column:
-        return F.lower(F.regexp_replace(F.regexp_replace(F.replace(F.replace(text, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit("")), r"^[{}]+|[{}]+$", ""), "-", ""))
+    def stages(self, t: T.DataType) -> list[Callable[[Column], Column]]:
+        def digits(v: Column) -> Column:
+            text = F.replace(F.replace(_text(v, t)[0], F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
+            return F.lower(F.replace(F.btrim(text, F.lit("{}")), F.lit("-"), F.lit("")))
 
-    def bad(self, text: Column) -> list:
-        h = self._hex(text)
-        bad = [(~h.rlike(r"\A[0-9a-f]{32}\z"), "not_uuid", "is not a UUID")]
-        if self.version is not None:
-            bad.append((~h.rlike(rf"\A[0-9a-f]{{12}}{self.version:x}[0-9a-f]{{3}}[89ab]"), "wrong_version", f"is not a version {self.version} UUID"))
-        return bad
+        return [digits]
 
-    def made(self, text: Column) -> tuple[Column, T.DataType]:
-        h = self._hex(text)
-        return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), T.StringType()
-
-    def compile(self, v: Column, t: T.DataType, path: Column) -> Outcome:
-        o = super().compile(v, t, path)
-        return Outcome(F.when(_text(v, t)[0].isNotNull(), o.value), o.issues, o.dtype)
+    def judge(self, v: Column, t: T.DataType, got: Column) -> tuple[list, Column, T.DataType]:
+        tests = [(_text(v, t)[1], "wrong_type", "is not text"), (~got.rlike(r"\A[0-9a-f]{32}\z"), "not_uuid", "is not a UUID")]
+        if self.version is not None:
+            tests.append((~got.rlike(rf"\A[0-9a-f]{{12}}{self.version:x}[0-9a-f]{{3}}[89ab]"), "wrong_version", f"is not a version {self.version} UUID"))
+        dashed = F.concat_ws("-", *[F.substring(got, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+        return tests, F.when(got.isNotNull(), dashed), T.StringType()
 
 
 class Optional(Step):

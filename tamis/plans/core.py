@@ -100,36 +100,78 @@ class Step(metaclass=Piped):
         """What stands for a bad value; null unless a step says otherwise."""
         return None
 
+    def stages(self, t: T.DataType) -> list[Callable[[Column], Column]]:
+        """Costly parts that tests and the new value share: functions of the value, then each of what the one before made.
+        A column holds each, or inside collections a `transform` of its own, so each runs once for a value."""
+        return []
+
+    def judge(self, v: Column, t: T.DataType, got: Column) -> tuple[list, Column, T.DataType]:
+        """Tests, the new value and its type; got: what the last stage made, or the value itself without stages."""
+        return self.tests(v, t), *self.convert(v, t)
+
+    def _judges(self, t: T.DataType) -> bool:
+        """Does `judge` say all, or does the step compile in a way of its own?"""
+        return type(self).compile is Step.compile or bool(self.stages(t))
+
     def compile(self, v: Column, t: T.DataType, path: Column) -> Outcome:
-        tests = self.tests(v, t)
-        value, new = self.convert(v, t)
+        got = F.array(v)
+        for f in self.stages(t):
+            got = F.transform(got, f)
+        return self.outcome(*self.judge(v, t, F.get(got, F.lit(0)) if self.stages(t) else v), v, t, path)
+
+    def outcome(self, tests: list, value: Column, new: T.DataType, v: Column, t: T.DataType, path: Column, first: Column | None = None) -> Outcome:
+        """The outcome, from tests of a value and what becomes of a good one. first: see `first_fault`, if it is at hand."""
         if not tests:
             return Outcome(value, no_issues(), new)
-        code, message = F.when(tests[0][0], tests[0][1]), F.when(tests[0][0], tests[0][2])
-        for bad, c, m in tests[1:]:
-            code, message = code.when(bad, c), message.when(bad, m)
+        first = first_fault(tests) if first is None else first
+        code, message = (F.get(F.array(*[F.lit(x[i]) if isinstance(x[i], str) else x[i] for x in tests]), first) for i in (1, 2))
         other = self.replacement(v, t)
-        good = F.when(code.isNull(), value)
+        good = F.when(first.isNull(), value)
         good = good if other is None else good.otherwise(other)
-        return Outcome(good, F.when(code.isNotNull(), F.array(issue(path, code, message, self.name, shown(v, t)))).otherwise(no_issues()), new)
+        return Outcome(good, F.when(first.isNotNull(), F.array(issue(path, code, message, self.name, shown(v, t)))).otherwise(no_issues()), new)
 
     def column(self, df: DataFrame, state: str, t: T.DataType) -> tuple[DataFrame, str, T.DataType]:
         """df with a column for the state after this step, that column, and the value's type."""
         s = F.col(state)
-        o = self.compile(s["value"], t, s["path"])
+        if not self._judges(t):
+            o, name = self.compile(s["value"], t, s["path"]), fresh()
+            return df.withColumn(name, advance(s, o, t)), name, o.dtype
+        v, got, first = s["value"], s["value"], None
+        for i, f in enumerate(self.stages(t)):
+            name = fresh()
+            df, got = df.withColumn(name, f(got if i else F.when(F.size(s["issues"]) == 0, v))), F.col(name)
+        tests, value, new = self.judge(v, t, got)
+        if tests:
+            name = fresh()
+            df, first = df.withColumn(name, F.when(F.size(s["issues"]) == 0, first_fault(tests))), F.col(name)
+        o = self.outcome(tests, value, new, v, t, s["path"], first)
         name = fresh()
         return df.withColumn(name, advance(s, o, t)), name, o.dtype
 
     def element(self, states: Column, t: T.DataType) -> tuple[Column, T.DataType]:
         """An array of states after this step, for use inside expressions."""
         kept: list[T.DataType] = []
-
-        def one(s: Column) -> Column:
-            o = self.compile(s["value"], t, s["path"])
+        stages = self.stages(t)
+        if not stages:
+
+            def one(s: Column) -> Column:
+                o = self.compile(s["value"], t, s["path"])
+                kept.append(o.dtype)
+                return advance(s, o, t)
+
+            out = F.transform(states, one)
+            return out, kept[0]
+        pairs = F.transform(states, lambda s: F.struct(s.alias("s"), F.when(F.size(s["issues"]) == 0, s["value"]).alias("got")))
+        for f in stages:
+            pairs = F.transform(pairs, _on_got(f))
+
+        def two(x: Column) -> Column:
+            s = x["s"]
+            o = self.outcome(*self.judge(s["value"], t, x["got"]), s["value"], t, s["path"])
             kept.append(o.dtype)
             return advance(s, o, t)
 
-        out = F.transform(states, one)
+        out = F.transform(pairs, two)
         return out, kept[0]
 
     def elements(self, df: DataFrame, states: str, t: T.DataType) -> tuple[DataFrame, str, T.DataType]:
@@ -154,6 +196,18 @@ def start(v: Column, path: Column) -> Column:
     return F.struct(path.cast("string").alias("path"), v.alias("value"), no_issues().alias("issues"))
 
 
+def _on_got(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.struct(x["s"].alias("s"), f(x["got"]).alias("got"))
+
+
+def first_fault(tests: list) -> Column:
+    """The number of the first test that finds fault, from 0; null if none does."""
+    out = F.when(tests[0][0], 0)
+    for i, (bad, _, _) in enumerate(tests[1:], 1):
+        out = out.when(bad, i)
+    return out
+
+
 class Called(Step):
     """A step of which a part runs in Python, by batches: `native` first, then `python` on rows that `needs` it."""
 

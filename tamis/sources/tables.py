@@ -5,10 +5,9 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.plans.runner import Runner
+from tamis.plans.runner import Log, Runner, named
 
 
 def read(spark: SparkSession, path: str, form: str = "parquet", schema: T.StructType | str | None = None, **options: object) -> DataFrame:
@@ -19,8 +18,7 @@ def read(spark: SparkSession, path: str, form: str = "parquet", schema: T.Struct
 
 def split(runner: Runner) -> tuple[DataFrame, DataFrame]:
     """Good rows with the cleaned value in the column's place, and a row for each issue of the others."""
-    cleaned = runner.names[0]
-    good = runner.valid().withColumn(runner.column, F.col(cleaned)).select(*runner.df.columns)
+    good = runner.valid().select(*[named(runner.names[0]).alias(c) if c == runner.column else named(c) for c in runner.df.columns])
     return good, runner.errors()
 
 
@@ -32,8 +30,5 @@ def write(runner: Runner, good: str, bad: str, form: str = "parquet", mode: str
 
 
 def log(runner: Runner, logger: logging.Logger, level: int = logging.ERROR, most: int = 1000) -> DataFrame:
-    """Tell a logger of the driver of how often each code was found where, at most `most` lines, commonest first, and go
-    on with all rows. Single issues belong in a table: see write."""
-    for r in runner.report().orderBy(F.desc("n"), "path", "code").limit(most).collect():
-        logger.log(level, "%s: %s (%d times)", r["path"] or "value", r["code"], r["n"])
-    return runner.collect()
+    """Tell a logger what a runner found, and go on with all rows; see Log."""
+    return Log(logger, level, most).table(runner.collect(), runner)

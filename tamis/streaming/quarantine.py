@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tamis.plans.runner import apply
+from tamis.plans.runner import Runner, apply, named
 
 
 def clean(stream: DataFrame, column: str, step: object, **how) -> DataFrame:
@@ -18,10 +18,11 @@ def quarantine(stream: DataFrame, column: str, step: object, good: str, bad: str
     if the batch is tried again, so that no row is written twice."""
 
     def batch(df: DataFrame, number: int) -> None:
-        out = apply(df, column, step).persist()
+        r = Runner(step, df, column)
+        out, ok = r.collect().persist(), named(r.names[2])
         try:
-            out.where("is_valid").drop("issues", "is_valid").write.mode("overwrite").parquet(f"{good}/batch={number}")
-            out.where("not is_valid").write.mode("overwrite").parquet(f"{bad}/batch={number}")
+            out.where(ok).drop(*r.names[1:]).write.mode("overwrite").parquet(f"{good}/batch={number}")
+            out.where(~ok).write.mode("overwrite").parquet(f"{bad}/batch={number}")
         finally:
             out.unpersist()
 
