@@ -1,8 +1,9 @@
 """MinHash near-dedup with HyperMinHash registers.
 
 A document's set of word shingles is hashed to 64 bits; the top bits name one of REGISTERS buckets, and a bucket keeps of
-its smallest value the number of leading zeros and MANTISSA bits after the first one: 16 bits. Empty buckets borrow from
-the next filled one. BANDS of four registers are 64-bit keys; documents that share a key are candidates, which must pass
+its smallest value the number of leading zeros and MANTISSA bits after the first one: 16 bits. An empty bucket borrows from
+the first filled one of a random order of its own, so in sets of any size a register agrees with a chance near the
+similarity, and registers do so apart from each other. BANDS of four registers are 64-bit keys; documents that share a key are candidates, which must pass
 an estimate of their similarity (corrected for registers that agree by chance), then the exact similarity of full sets.
 
 Documents with equal sets are one class, of which one member is compared. Classes that meet under a key are first paired
@@ -11,9 +12,7 @@ different components, all pairs between those are estimated; what passes ties co
 the full sets of the classes concerned are compared block by block. So no group's pairs are ever rows, and no pair that
 shares a key and passes the estimate is left out.
 
-Small sets fill few registers, and one shingle can change them all. So sets of at most FEW shingles also meet in an exact
-way: under the rarest of their own shingles, so many that two sets that reach the similarity share one. There, full sets
-are compared at once, without an estimate.
+Sets so small that no unequal ones reach the similarity (3 shingles and less at 0.8) have no keys.
 """
 
 from __future__ import annotations
@@ -36,12 +35,12 @@ SLACK = 4.5
 CHUNK = 2048
 #: Classes, and bytes of sets, of a block; shingles that two blocks are compared by at a time.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 4 << 20, 2048
-#: Sets of at most so many shingles are also compared exactly wherever they share one of their rarest.
-FEW = 96
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _order = np.random.default_rng(20).permutation(REGISTERS)
+#: For each bucket, the buckets that it asks for a register, in order.
+_probes = np.random.default_rng(21).permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -102,11 +101,17 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     zeros = np.clip(64 - bits - high, 0, 62)
     shift = np.maximum(high - 1 - MANTISSA, 0).astype(np.uint64)
     reg = (zeros.astype(np.uint64) << np.uint64(MANTISSA)) | ((least >> shift) & np.uint64((1 << MANTISSA) - 1))
-    # an empty bucket takes the next filled one's register, changed by the distance
-    at = np.where(np.concatenate([filled, filled], 1), np.arange(2 * REGISTERS), 4 * REGISTERS)
-    donor = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :REGISTERS]
-    away = np.where(donor < 4 * REGISTERS, donor - np.arange(REGISTERS), 0).astype(np.uint64)
-    got = np.take_along_axis(reg, np.where(donor < 4 * REGISTERS, donor % REGISTERS, 0), 1)
+    # an empty bucket takes the register of the first filled one that it asks, changed by that one's number
+    donor = np.where(filled, np.arange(REGISTERS), -1)
+    left = np.flatnonzero(filled.any(1) & ~filled.all(1))
+    for ask in _probes.T:
+        if not len(left):
+            break
+        own = donor[left]
+        donor[left] = np.where((own < 0) & filled[left][:, ask], ask, own)
+        left = left[(donor[left] < 0).any(1)]
+    away = np.where((donor < 0) | filled, 0, donor + 1).astype(np.uint64)
+    got = np.take_along_axis(reg, np.maximum(donor, 0), 1)
     return ((got + away * np.uint64(40503)) & np.uint64(0xFFFF)).astype(np.uint16)[:, _order]
 
 
@@ -129,22 +134,24 @@ def least_estimate(similarity: float, n: np.ndarray, m: np.ndarray) -> np.ndarra
 
 
 def _signed(df: DataFrame, text: str, key: str, k: int) -> DataFrame:
-    """(key, n, node, regs, few): node is a 128-bit hash of the set, null for an empty one; few a small set itself."""
+    """(key, n, node, regs): node is a 128-bit hash of the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingles(batch.column(1).to_pylist(), k))
             regs = registers(sets)
             node = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary()), pa.array([s.tobytes() if 0 < len(s) <= FEW else None for s in sets], pa.binary())], names=["key", "n", "node", "regs", "few"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())], names=["key", "n", "node", "regs"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {dict(df.dtypes)[key]}, n long, node binary, regs binary, few binary")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {dict(df.dtypes)[key]}, n long, node binary, regs binary")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(band, slot, node, n): a row for each band of each class."""
+def _keys(classes: DataFrame, similarity: float) -> DataFrame:
+    """(band, slot, node, n): a row for each band of each class that may be similar to another: of n and n + 1 shingles at
+    most n are common."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring(F.col("regs"), b * 8 + 1, F.lit(8)))
-    return classes.select("node", "n", F.posexplode(bands).alias("band", "slot"))
+    likely = classes.where(100 * F.col("n") >= round(100 * similarity) * (F.col("n") + 1))
+    return likely.select("node", "n", F.posexplode(bands).alias("band", "slot"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -250,48 +257,6 @@ def _cells(keys: DataFrame, comps: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("cell", F.explode(cells)).select(*by, "cell", "part", "node", "comp")
 
 
-def _rarest(classes: DataFrame, similarity: float) -> DataFrame:
-    """(slot, node): of each small class so many of its rarest shingles that two that reach the similarity share one; those
-    in one small class only are left out."""
-    each = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.substring(F.col("few"), i * 8 - 7, F.lit(8)))
-    rows = classes.where("few is not null").select("node", "n", F.explode(each).alias("slot"))
-    counts = rows.groupBy("slot").agg(F.count("*").alias("c")).where("c > 1")
-    rows = rows.join(counts, "slot", "left").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "slot"))).alias("s"))
-    need = F.ceil(F.col("n") * round(100 * similarity) / 100 - F.lit(1e-9))
-    rows = rows.select("node", F.explode(F.slice("s", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("s"))
-    return rows.where("s.c > 1").select(F.col("s.slot").alias("slot"), "node")
-
-
-def _exact(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between components, from the full sets of small classes that share a key."""
-    rows = _cells(keys, comps, ["slot"]).join(classes.select("node", "few"), "node").select("slot", "cell", "part", "comp", "few")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (part, comp, few) in _groups(batches, 2):
-            index: dict[bytes, int] = {}
-            c = np.array([index.setdefault(x, len(index)) for x in comp])
-            if len(index) < 2:
-                continue
-            sets = [np.frombuffer(x, np.uint64) for x in few]
-            n, low = np.array([len(x) for x in sets]), np.array(part) == min(part)
-            left = np.flatnonzero(low)
-            right = left if low.all() else np.flatnonzero(~low)
-            ties = []
-            for i in range(0, len(left), BLOCK):
-                for j in range(i if low.all() else 0, len(right), BLOCK):
-                    p, q = left[i : i + BLOCK], right[j : j + BLOCK]
-                    small, large = np.minimum(n[p, None], n[q]), np.maximum(n[p, None], n[q])
-                    ok = (c[p, None] != c[q]) & _reach(small, small, large, similarity)
-                    if ok.any():
-                        x, y = np.nonzero(ok & _reach(overlaps([sets[k] for k in p], [sets[k] for k in q]), n[p, None], n[q], similarity))
-                        ties.append(np.unique(c[p[x]] * len(index) + c[q[y]]))
-            found = np.unique(np.concatenate(ties)) if ties else np.empty(0, np.int64)
-            if len(found):
-                yield _stars(found // len(index), found % len(index), list(index))
-
-    return rows.repartition("slot", "cell").sortWithinPartitions("slot", "cell").mapInArrow(run, "a binary, b binary").distinct()
-
-
 def _contested(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(kind, a, b) of classes of different components that share a key and may reach the similarity: kind 0 ties
     components a and b, a star for each tree of a key; kind 1 says that class a of component b is in such a pair."""
@@ -409,19 +374,23 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
 
     Words are runs of non-space characters, A-Z taken as a-z; a document's set holds its runs of `words` words, or all
     its words as one run if it has fewer. A null or blank text has the empty set: linked with nothing, it is kept and is
-    its own component. Equal sets always link, in any number. Rows with one key count as one document. A null key is
+    its own component. Equal sets always link, in any number, and so do the rows of one key that have words. A null key is none: it is
     larger than all others: it is a component's id only if there is no other key, and such rows are not kept beside
     others. Extra columns are not read; an empty table gives no rows.
     """
     tune(df.sparkSession)
     rows = stage(_signed(df, text, key, words), "registers")
-    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("few").alias("few")), "classes")
-    keys = _keys(classes)
+    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    keys = _keys(classes, similarity)
     shared = keys.groupBy("band", "slot").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1").drop("c")
     keys = stage(keys.join(shared, ["band", "slot"]).select("band", "slot", "node", "centre"), "keys")
     star = keys.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     near = _estimated(star, classes, similarity).groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
-    links = stage(_verified(stage(near, "pairs"), classes, df, text, key, words, similarity), "links")
+    links = _verified(stage(near, "pairs"), classes, df, text, key, words, similarity)
+    # unlike sets under one key are one document's
+    own = rows.where("key is not null and node is not null").groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("m")).where("b <> m")
+    twins = rows.join(own.select(F.col("key").alias("_key"), "b"), F.col("key") == F.col("_key")).where("node <> b").select(F.col("node").alias("a"), "b")
+    links = stage(links.unionByName(twins), "links")
     roots = components(links)
     comps = stage(classes.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("comp")), "comps")
     contested = stage(_contested(keys.drop("centre"), comps.select("node", "comp"), classes, similarity), "contested")
@@ -429,8 +398,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     nodes = contested.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("comp")).join(clusters, "comp")
     nodes = stage(nodes.join(classes.select("node", "key"), "node").select("cluster", "comp", "node", "key"), "nodes")
     more = _linked(nodes.drop("key"), _sets(nodes, df, text, key, words), similarity)
-    few = _exact(stage(_rarest(classes, similarity), "rarest"), comps.select("node", "comp"), classes, similarity)
-    roots = components(stage(more.unionByName(few), "links")).select(F.col("node").alias("comp"), "root")
+    roots = components(stage(more, "links")).select(F.col("node").alias("comp"), "root")
     comps = comps.join(roots, "comp", "left").select("node", "key", F.coalesce("root", "comp").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("key").alias("component_id"))
     of = stage(comps.join(least, "comp").select("node", "component_id"), "components")

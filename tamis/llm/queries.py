@@ -123,6 +123,19 @@ reach AS (SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT reach.a,
 SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings JOIN (SELECT a, min(r) AS c FROM reach GROUP BY a) m ON m.a = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = vec_id"""
 
 
+NEAR_SQL = r"""WITH RECURSIVE word AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) WHEN len(w) = 1 THEN w ELSE [] END AS s FROM word),
+member AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM member a JOIN member b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM common WHERE 100 * k >= 80 * (n + m - k)),
+reach AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.r = link.a)
+SELECT doc_id, CAST(coalesce(len(s), 0) AS bigint) AS n_shingles, c AS component_id, c = doc_id AS kept FROM sets JOIN (SELECT a, min(r) AS c FROM reach GROUP BY a) q ON q.a = doc_id"""
+
+NEAREST_SQL = """WITH v AS (SELECT vec_id, CAST(embedding AS double[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS integer) AS rank, vec_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) t WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL says the same within reason; the others are tested against brute force."""
-    return {"op8_license": license_sql(), "op9_vectors": VECTORS_SQL}
+    return {"op2_minhash": NEAR_SQL, "op8_license": license_sql(), "op9_vectors": VECTORS_SQL}

@@ -106,32 +106,46 @@ def test_near_duplicates(docs, k, chunk, monkeypatch):
 
 @pytest.mark.parametrize("chunk", [2048, 20])
 def test_short_near_duplicates(spark, chunk, monkeypatch):
-    """Pairs at the threshold whose sets fill few registers, with words in common with all others."""
+    """Pairs at the threshold whose sets fill few registers, 2,000 of them of 4 against 5 shingles, some with words in common
+    with all others."""
     monkeypatch.setattr(minhash, "CHUNK", chunk)
     monkeypatch.setattr(minhash, "BLOCK", min(chunk // 3, 512))
     rng = random.Random(6)
     rows = []
-    for i in range(400):
-        n = 5 * rng.randint(1, 4)
+    for i in range(2400):
+        n = 5 if i < 2000 else 5 * rng.randint(2, 5)
         own = [f"w{rng.randrange(10**9)}" for _ in range(n + 1)]
-        if i % 4 == 0:
+        if i % 8 == 0:
             own[1:3] = "of", "the"
         rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[: -n // 5]))]
-    apart = 0
-    while apart < 10:  # pairs without a band in common
-        own = [f"w{rng.randrange(10**9)}" for _ in range(6)]
-        texts = [" ".join(own), " ".join(own[:-1])]
-        x, y = minhash.registers(list(minhash.shingles(texts, 2))).reshape(2, minhash.BANDS, -1)
-        if not (x == y).all(1).any():
-            rows += [(2000 + 2 * apart, texts[0]), (2001 + 2 * apart, texts[1])]
-            apart += 1
-    rows += [(900 + i, f"of the {i % 7} of the") for i in range(40)]
+    rows += [(9000 + i, f"of the {i % 7} of the") for i in range(40)]
     sets = {i: shingled(t, 2) for i, t in rows}
-    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    want = components(links, sets)
-    assert len(links) >= 400
+    by = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            by[x].append(i)
+    near = {(a, b) for s in by.values() if len(s) < 200 for a in s for b in s if a < b}
+    links = [(a, b) for a, b in near if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) >= 2400
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
-    assert got == want
+    assert got == components(links, sets)
+
+
+def test_registers_of_few_shingles():
+    """Pairs at the threshold lose no band key, however few registers they fill."""
+    rng = np.random.default_rng(8)
+    for both, more in ((4, 1), (8, 2), (12, 3), (24, 6), (96, 24)):
+        apart = 0
+        x = rng.integers(0, 1 << 63, (5000, both + more), dtype=np.uint64) * np.uint64(2)
+        a, b = (minhash.registers([np.sort(s[:n]) for s in x]).reshape(len(x), minhash.BANDS, -1) for n in (both, both + more))
+        apart = int((~(a == b).all(2).any(1)).sum())
+        assert apart <= 1
+
+
+def test_rows_of_one_key(spark):
+    rows = [(1, "a b c"), (2, "a b c"), (2, "d e f"), (3, "d e f"), (4, "g h")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
 
 
 def test_near_duplicates_edges(empty, nulls):
