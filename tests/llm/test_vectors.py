@@ -43,6 +43,7 @@ def test_nearest(table, small, monkeypatch):
     if small:
         monkeypatch.setattr(ann, "ROWS", 40)
         monkeypatch.setattr(ann, "QUERIES", 3)
+        monkeypatch.setattr(ann, "SPREAD", 2)
     keep, x = good()
     ids = np.array([r[0] for r in keep])
     got = {}
@@ -72,10 +73,38 @@ def test_codes_favour_products():
         assert codes.max() < 16
         y = np.concatenate([b[codes[:, m]] for m, b in enumerate(books)], 1)
         error.append(((x * (x - y)).sum(1) ** 2).mean())
-        assert np.allclose(np.diag(ann.scan(codes[:50], x[:50], books)), (x * y).sum(1)[:50], atol=1e-5)
+        assert np.allclose(np.diag(ann.scan(ann.packed(codes[:50]), ann.tables(x[:50], books))), (x * y).sum(1)[:50], atol=1e-5)
     assert error[1] < error[0]
 
 
+def test_nearest_ties(spark):
+    """Of 300 equal vectors and more that are equal up to their length, the smallest keys are nearest; own rows are none."""
+    rng = np.random.default_rng(9)
+    hot, other = rng.normal(size=16).astype(np.float32), rng.normal(size=(200, 16)).astype(np.float32)
+    rows = [(int(i), hot.tolist()) for i in rng.permutation(300)] + [(300 + i, (hot * 2).tolist()) for i in range(200)] + [(500 + i, v.tolist()) for i, v in enumerate(other)] + [(50, hot.tolist()), (51, hot.tolist())]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == got[250] == got[400] == [0, 1, 2, 3, 4] and len(got) == 14 and all(len(v) == 5 for v in got.values())
+
+
+def test_recall(spark):
+    """Against brute force on the whole table."""
+    where = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{where}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in queries.op3_neighbours(spark, where).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in got:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -9
+        hits += len(got[q] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert len(got) == (ids % 50 == 0).sum() and hits >= 0.99 * 5 * len(got)
+
+
 def test_nearest_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (3, [1.0, 1.0], 1), (4, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
     assert [(r["rank"], r.vec_id) for r in ann.nearest(df).orderBy("rank").collect()] == [(1, 3), (2, 4)]
