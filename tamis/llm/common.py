@@ -91,14 +91,24 @@ def unit(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def ranked(df: DataFrame, keys: list[Column], out: str) -> DataFrame:
-    """df with `out`, each row's 0-based place in the order of keys. No task sorts everything: ranges are numbered
-    apart and shifted by the counts of the ranges before, of which there are as many as shuffle partitions."""
+def _sorted(df: DataFrame, keys: list[Column], out: Column, total: Column, name: str) -> DataFrame:
+    """df with a window's `out` over the order of keys. No task sorts everything: ranges are summed apart (total, by the
+    same measure) and shifted by what lies before, of which there is as much as there are shuffle partitions."""
     part = stage(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
-    counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-    return part.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(out, (F.col("_place") + F.col("_before")).cast("long")).drop("_part", "_place", "_before")
+    sums = part.groupBy("_part").agg(total.alias("_n"))
+    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = out.over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    return part.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_part", "_place", "_before")
+
+
+def ranked(df: DataFrame, keys: list[Column], out: str) -> DataFrame:
+    """df with `out`, each row's 0-based place in the order of keys."""
+    return _sorted(df, keys, F.count("*"), F.count("*"), out).withColumn(out, F.col(out) - 1)
+
+
+def running(df: DataFrame, keys: list[Column], value: str, out: str) -> DataFrame:
+    """df with `out`, the sum of a whole-number column up to each row in the order of keys, itself included."""
+    return _sorted(df, keys, F.sum(value), F.sum(value), out)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
