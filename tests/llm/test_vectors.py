@@ -114,6 +114,9 @@ def test_nearest_few(spark):
 @pytest.mark.parametrize("rows", [1024, 16])
 def test_near_duplicates(table, rows, monkeypatch):
     monkeypatch.setattr(vecdup, "ROWS", rows)
+    if rows < 1000:
+        monkeypatch.setattr(vecdup, "STRIP", 3)
+        monkeypatch.setattr(vecdup, "TILE", 5)
     keep, x = good()
     links = {r[0]: set() for r in ROWS}
     s = x @ x.T
@@ -156,6 +159,14 @@ def test_window_keeps_pairs_at_the_threshold():
     assert (((gap[:, 1:] <= other).sum(1) >= vecdup.COLLISIONS) & (gap[:, 0] <= first)).mean() > 0.9998
 
 
+def test_collisions():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(40, 6)).astype(np.float32), rng.normal(size=(70, 6)).astype(np.float32)
+    b[3:9] = b[3]  # ties
+    want = (np.abs(a[:, None].astype(float) - b[None]) <= 0.3).sum(2)
+    assert (vecdup.collisions(a, b, 0.3) == want).mean() > 0.999
+
+
 def test_takes_part(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     keep, _ = good()
