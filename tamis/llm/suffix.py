@@ -1,22 +1,23 @@
 """Suffix-array dedup of long repeats across documents, by bucket-pointer refinement.
 
-Every byte covered by a string of `length` bytes that also starts in a document with a smaller key is removed. A string is
-dealt to the suffix bucket of its anchor, the least of the hashed GRAM-byte strings in it, so equal strings meet. Strings
-that follow each other with one anchor are a run. A bucket first compares whole runs: equal ones settle all their strings
-at once. Runs with an anchor in common that differ are sent with their bytes, and the suffixes that start there are
-bucketed by their first eight bytes, then refined by pairs of bucket numbers at later offsets: 8, 16, 32 and `length`
-bytes, each from the numbers before it.
-
-Texts travel in packs of a few MB; a pack sends one entry for each kind of run, with its smallest document, to each of a
-fixed number of bucket groups. So a passage in very many documents makes as many entries as there are packs. Runs of one kind
-in that smallest document are compared once; what is found holds at all their places. An anchor with
-many kinds of runs, such as one in a line that stands between ever different others, would fill one group: its strings are
-dealt out one by one instead, by two hashes of all their bytes, and each pack sends equal ones once.
+Every byte covered by a string of `length` bytes that also starts in a document with a smaller key is removed. Each string
+has an anchor, the least of the hashed GRAM-byte strings in it, so equal strings have equal anchors. Strings that follow each
+other with one anchor are a run, and runs of equal bytes are of one kind: what holds for one of them holds for all.
+
+Anchors meet first. An anchor with one kind of runs wherever it occurs is settled by the smallest document of that kind. The
+suffixes that start in runs of an anchor with several kinds are bucketed by their first eight bytes, and buckets are refined
+by pairs of bucket numbers here and at later offsets: 16, 32 and `length` bytes, each from the numbers before it. A bucket's
+number is made from the pair alone, so that all packs number alike without meeting; the last numbers are dealt out, sorted,
+and each bucket keeps the strings of its smallest document.
+
+Texts travel in packs of a few MB. A pack sends one entry for an anchor, whatever its runs, and one for a bucket, so a line
+in very many documents makes no more entries than there are packs, wherever it stands. Entries go in bundles to groups of
+anchors or buckets, in as many rounds as keep a bundle large; answers name the entries that are found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,13 @@ from .common import Stage, tune
 
 #: Bytes of text in a pack (one longer text is a pack of its own), bytes looked at together, bytes of an anchor.
 PACK, SLICE, GRAM = 2 << 20, 1 << 18, 24
-#: Text for which there is one group of suffix buckets, and groups at least.
-GROUP_BYTES, GROUPS = 4 << 20, 64
-#: Bytes of runs that are refined at a time, unless one anchor has more; kinds of runs from which an anchor is hot.
-REFINED, HOT = 1 << 19, 64
+#: Text for which there is one group of entries, and groups at least; groups that entries are dealt to in a round.
+GROUP_BYTES, GROUPS, FAN = 4 << 20, 64, 1 << 13
+#: Entries that a task holds to be dealt out or answered together.
+HELD = 1 << 20
+#: Flags of an answer; stands for several kinds in place of one.
+GONE, ASK = 1, 2
+MANY = np.uint64(0)
 LAST = np.iinfo(np.int64).max
 K = 0xD6E8FEB86659FD93
 K_BACK = pow(K, -1, 1 << 64)
@@ -99,15 +103,25 @@ def runs(raw: np.ndarray, starts: np.ndarray, length: int) -> dict[str, np.ndarr
     return dict(zip(names, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
 
 
-def entries(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the first run of each kind (anchor and bytes), smallest document first, and each run's kind."""
+def kinds(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a pack's runs: the first of each kind (anchor and bytes), smallest document first; each run's kind; the first kind
+    of each anchor; each kind's anchor. Kinds and anchors are numbered in order of their hashes."""
     order = np.lexsort((r["doc"], r["c"], r["h"]))
     h, c = r["h"][order], r["c"][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    new_h = np.append(True, h[1:] != h[:-1])[: len(h)]
+    new = new_h | np.append(True, c[1:] != c[:-1])[: len(h)]
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
-    return order[new], kind
+    head = np.flatnonzero(new_h[new])
+    return order[new], kind, head, np.cumsum(new_h[new]) - 1
+
+
+def anchors(keys: np.ndarray, r: dict[str, np.ndarray]) -> tuple:
+    """What a pack sends: for each anchor its hash, its kind's or MANY, its smallest document; then what `kinds` gives."""
+    rep, kind, head, of = kinds(r)
+    c = np.where(np.bincount(of, minlength=len(head)) > 1, MANY, r["c"][rep[head]])
+    least = np.minimum.reduceat(keys[r["doc"][rep]], head) if len(head) else np.empty(0, np.int64)
+    return r["h"][rep[head]], c, least, rep, kind, of
 
 
 def _unpack(keys: bytes, starts: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,36 +146,187 @@ def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[at], last[np.append(at[1:], len(first)) - 1]
 
 
-def _whole(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes, of 64 and 32 bits, of the strings of `length` bytes that start at `at`."""
-    t = _prepared(length)
-    one, two = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
-    for i in range(0, len(at), 1 << 14):
-        value = t["byte"][raw[at[i : i + (1 << 14), None] + np.arange(length)]]
-        one[i : i + (1 << 14)] = _mixed((value * t["up"][:length]).sum(1, dtype=np.uint64))
-        two[i : i + (1 << 14)] = _mixed((value * t["down"][1 : length + 1]).sum(1, dtype=np.uint64))
-    return one, (two >> np.uint64(32)).astype(np.uint32)
+def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    return _mixed(a * np.uint64(K) + _mixed(b + np.uint64(salt)))
 
 
-def refine(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Bucket numbers of the strings of `length` bytes that start at `at`: equal for equal strings.
+def refine(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers, of 64 and of 32 bits, of all strings of `length` bytes: equal for equal strings.
 
-    Buckets of eight bytes come first; twice as many bytes are told apart by the pair of buckets here and that far on.
+    Buckets of eight bytes are numbered by those bytes; twice as many bytes by the pair of buckets here and that far on.
     """
-    padded = np.concatenate([raw, np.zeros(2 * length + 8, np.uint8)])
-    n = len(raw) + length
-    gram = np.zeros(n, np.uint64)
+    gram = np.zeros(len(raw) - 7, np.uint64)
     for j in range(8):
         gram <<= np.uint64(8)
-        gram |= padded[j : j + n]
-    bucket = np.unique(gram, return_inverse=True)[1]
-    size = 8
-    while size * 2 <= length:
-        pair = bucket[:-size].astype(np.int64) * (int(bucket.max()) + 1) + bucket[size:]
-        bucket = np.unique(pair, return_inverse=True)[1]
-        size *= 2
-    pair = bucket[at].astype(np.int64) * (int(bucket.max()) + 1) + bucket[at + length - size]
-    return np.unique(pair, return_inverse=True)[1]
+        gram |= raw[j : j + len(gram)]
+    out = []
+    for salt in (11, 29):
+        bucket, size = gram, 8
+        while size * 2 <= length:
+            bucket, size = _pair(bucket[:-size], bucket[size:], salt), size * 2
+        n = len(raw) - length + 1
+        out.append(_pair(bucket[:n], bucket[length - size : length - size + n], salt))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
+def buckets(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of the strings that start at `at`, refined over the stretches that they cover."""
+    one, two = np.empty(len(at), np.uint64), np.empty(len(at), np.uint32)
+    order = np.argsort(at, kind="stable")
+    place = at[order]
+    first, last = _spans(place, place + length)
+    # long stretches in slices that overlap by all but a byte of a string; short ones together
+    cut = -(-(last - first - length + 1) // SLICE)
+    begin = np.repeat(first, cut) + _count(cut) * SLICE
+    end = np.minimum(begin + SLICE + length - 1, np.repeat(last, cut))
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(np.cumsum(end[i:] - begin[i:]), SLICE + length)) + i)
+        size = end[i:j] - begin[i:j]
+        offset = np.cumsum(size) - size
+        x, y = refine(raw[np.repeat(begin[i:j], size) + _count(size)], length)
+        s = slice(*np.searchsorted(place, [begin[i], end[j - 1] - length + 1]))
+        part = np.searchsorted(begin[i:j], place[s], "right") - 1
+        where = place[s] - begin[i:j][part] + offset[part]
+        one[order[s]], two[order[s]] = x[where], y[where]
+        i = j
+    return one, two
+
+
+def scatter(parts: list[tuple], bits: int) -> list[tuple]:
+    """Entries of packs by group, the upper `bits` of their hashes: (group, heads, x, y, z). parts: (pack, number of the first
+    entry, x, y, z), x the hashes in order; heads: pack, number of the first entry and entries, of each part in the group."""
+    sizes = [len(p[2]) for p in parts]
+    if not sum(sizes):
+        return []
+    x, y, z = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+    g = (x >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    of = np.repeat(np.arange(len(parts)), sizes)[order]
+    number = (np.repeat(np.array([p[1] for p in parts]), sizes) + _count(np.array(sizes)))[order]
+    g, x, y, z = g[order], x[order], y[order], z[order]
+    new = np.append(True, (g[1:] != g[:-1]) | (of[1:] != of[:-1]))
+    at = np.flatnonzero(new)
+    heads = np.stack([np.array([p[0] for p in parts])[of[at]], number[at], np.diff(np.append(at, len(g)))], 1).astype(np.int64)
+    cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    low, high = np.searchsorted(at, cut), np.searchsorted(at, np.append(cut[1:], len(g)))
+    return [(int(g[i]), heads[p:q].tobytes(), x[i:j].tobytes(), y[i:j].tobytes(), z[i:j].tobytes()) for i, j, p, q in zip(cut, np.append(cut[1:], len(g)), low, high, strict=True)]
+
+
+def _parts(rows: list[tuple], kind: type) -> list[tuple]:
+    """What `scatter` was given, from its rows."""
+    out = []
+    for heads, x, y, z in rows:
+        heads = np.frombuffer(heads, np.int64).reshape(-1, 3)
+        x, y, z = np.frombuffer(x, np.uint64), np.frombuffer(y, kind), np.frombuffer(z, np.int64)
+        at = np.cumsum(heads[:, 2]) - heads[:, 2]
+        out += [(int(b), int(n), x[i : i + k], y[i : i + k], z[i : i + k]) for (b, n, k), i in zip(heads, at, strict=True)]
+    return out
+
+
+def judge(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Flags of entries of anchors: GONE if its kind is in a smaller document, ASK if the anchor has other kinds elsewhere."""
+    order = np.lexsort((doc, c, h))
+    hs, cs, ds = h[order], c[order], doc[order]
+    new_h = np.append(True, hs[1:] != hs[:-1])
+    new = new_h | np.append(True, cs[1:] != cs[:-1])
+    least, of = ds[new], np.cumsum(new) - 1
+    head, anchor = np.flatnonzero(new_h), np.cumsum(new_h) - 1
+    entries_, kinds_ = np.diff(np.append(head, len(hs))), np.add.reduceat(new, head)
+    one = cs != MANY
+    gone = one & (ds > least[of])
+    ask = ~gone & np.where(one, kinds_[anchor] > 1, entries_[anchor] > 1)
+    out = np.empty(len(h), np.uint8)
+    out[order] = gone * GONE + ask * ASK
+    return out
+
+
+def later(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Flags of entries of buckets: GONE if a smaller document has the string."""
+    order = np.lexsort((doc, two, one))
+    new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+    out = np.empty(len(one), np.uint8)
+    out[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+    return out
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a few MB."""
+    at = 0
+    while at < len(rows):
+        end, size = at, 0
+        while end < len(rows) and (end == at or size < 4 << 20):
+            size += sum(len(x) for x in rows[end] if isinstance(x, bytes))
+            end += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows[at:end], strict=True), types, strict=True)], names=names)
+        at = end
+
+
+BUNDLE = "g long, heads binary, x binary, y binary, z binary"
+BUNDLE_TYPES, BUNDLE_NAMES = [pa.int64(), *[pa.binary()] * 4], ["g", "heads", "x", "y", "z"]
+
+
+def _answered(bundles: DataFrame, bits: int, kind: type, answer: Callable) -> DataFrame:
+    """(b, n, flag): numbers and flags of those entries of each pack that `answer` flags, from bundles by groups."""
+
+    def split(bits: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held, size = None, [], 0
+            for batch in batches:
+                for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held and (g != now or size > HELD):
+                        yield from _batch(scatter(_parts(held, kind), bits), BUNDLE_TYPES, BUNDLE_NAMES)
+                        held, size = [], 0
+                    now = g
+                    held.append(row)
+                    size += len(row[1]) // 8
+            if held:
+                yield from _batch(scatter(_parts(held, kind), bits), BUNDLE_TYPES, BUNDLE_NAMES)
+
+        return run
+
+    def reply(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        b, n, flag = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(b, kind="stable")
+        b, n, flag = b[order], n[order], flag[order]
+        cut = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
+        yield from _batch([(int(b[i]), n[i:j].astype(np.uint32).tobytes(), flag[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)], [pa.int64(), pa.binary(), pa.binary()], ["b", "n", "flag"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found, size = None, [], [], 0
+
+        def group() -> tuple | None:
+            parts = _parts(held, kind)
+            x, y, z = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+            flag = answer(x, y, z)
+            at = np.flatnonzero(flag)
+            sizes = np.array([len(p[2]) for p in parts])
+            b = np.repeat(np.array([p[0] for p in parts]), sizes)
+            n = np.repeat(np.array([p[1] for p in parts]), sizes) + _count(sizes)
+            return (b[at], n[at], flag[at]) if len(at) else None
+
+        for batch in batches:
+            for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and g != now:
+                    if got := group():
+                        found.append(got)
+                        size += len(got[0])
+                    held = []
+                    if size > HELD:
+                        yield from reply(found)
+                        found, size = [], 0
+                now = g
+                held.append(row)
+        if held and (got := group()):
+            found.append(got)
+        if found:
+            yield from reply(found)
+
+    have = min(bits, FAN.bit_length() - 1)
+    while have < bits:
+        have = min(bits, have + FAN.bit_length() - 1)
+        bundles = bundles.repartition("g").sortWithinPartitions("g").mapInArrow(split(have), BUNDLE)
+    return bundles.repartition("g").sortWithinPartitions("g").mapInArrow(run, "b long, n binary, flag binary")
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
@@ -203,184 +368,99 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         if held:
             yield one(held, kinds)
 
-    packs = Stage(docs.mapInArrow(pack, "keys binary, starts binary, blob binary, rest binary, size long").withColumn("b", F.monotonically_increasing_id()), "packs").df
+    staged = Stage(docs.mapInArrow(pack, "keys binary, starts binary, blob binary, rest binary, size long").withColumn("b", F.monotonically_increasing_id()), "packs")
+    packs = staged.df
     total = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bits = max(GROUPS, -(-total // GROUP_BYTES) - 1).bit_length() - (1 if total <= GROUPS * GROUP_BYTES else 0)
-    groups = 1 << bits
-
-    def cuts(h: np.ndarray) -> np.ndarray:
-        """Where each group's part of sorted hashes begins, with the end."""
-        return np.append(np.searchsorted(h >> np.uint64(64 - bits), np.arange(groups, dtype=np.uint64)), len(h))
+    bits = (max(GROUPS, -(-total // GROUP_BYTES)) - 1).bit_length()
+    first = min(bits, FAN.bit_length() - 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for b, keys, starts, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 keys, starts, raw = _unpack(keys, starts, blob)
-                r = runs(raw, starts, length)
-                rep, _ = entries(r)
-                h, c, doc = r["h"][rep], r["c"][rep], keys[r["doc"][rep]]
-                cut = cuts(h)
-                rows = [(g, *(x[cut[g] : cut[g + 1]].tobytes() for x in (h, c, doc))) for g in range(groups)]
-                yield pa.RecordBatch.from_arrays([pa.array([b] * groups, pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True))], names=["b", "g", "h", "c", "d"])
-
-    sent = packs.select("b", "keys", "starts", "blob").mapInArrow(send, "b long, g int, h binary, c binary, d binary")
-
-    def judge(table: pa.Table) -> pa.Table:
-        """For each entry: is its run in a smaller document; are its bytes needed to compare its strings one by one."""
-        g = table.column("g")[0].as_py()
-        h = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
-        sizes = [len(x) for x in h]
-        doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("d").to_pylist()])
-        h, c = np.concatenate(h), np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("c").to_pylist()])
-        gone, ask, hot = (np.zeros(len(h), bool) for _ in range(3))
-        if len(h):
-            order = np.lexsort((doc, c, h))
-            hs, cs, ds = h[order], c[order], doc[order]
-            new_h = np.append(True, hs[1:] != hs[:-1])
-            new_c = new_h | np.append(True, cs[1:] != cs[:-1])
-            first = np.flatnonzero(new_c)
-            least = ds[first]
-            of = np.cumsum(new_c) - 1
-            head = np.flatnonzero(new_h[first])
-            low, high = np.minimum.reduceat(least, head), np.maximum.reduceat(least, head)
-            kinds = np.diff(np.append(head, len(first)))
-            apart, many = np.repeat(low < high, kinds), np.repeat(kinds >= HOT, kinds)
-            gone[order] = ds > least[of]
-            ask[order] = apart[of] & (ds == least[of])
-            hot[order] = many[of]
-        at = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-        pairs = list(zip(at[:-1], at[1:], strict=True))
-        return pa.table({"b": table.column("b"), "g": pa.array([g] * len(pairs), pa.int32()), "gone": pa.array([np.packbits(gone[i:j]).tobytes() for i, j in pairs], pa.binary()), "ask": pa.array([np.packbits(ask[i:j]).tobytes() for i, j in pairs], pa.binary()), "hot": pa.array([np.packbits(hot[i:j]).tobytes() for i, j in pairs], pa.binary())})
-
-    judged = Stage(sent.groupBy("g").applyInArrow(judge, "b long, g int, gone binary, ask binary, hot binary"), "judged")
-    answers = judged.df.groupBy("b").agg(F.collect_list(F.struct("g", "gone", "ask", "hot")).alias("answers"))  # one for each group
+                h, c, doc, *_ = anchors(keys, runs(raw, starts, length))
+                held.append((b, 0, h, c, doc))
+                size += len(h)
+                if size > HELD:
+                    yield from _batch(scatter(held, first), BUNDLE_TYPES, BUNDLE_NAMES)
+                    held, size = [], 0
+        yield from _batch(scatter(held, first), BUNDLE_TYPES, BUNDLE_NAMES)
+
+    def gathered(answers: DataFrame) -> DataFrame:
+        """A pack's answers: each task that gave some gave them in a few rows."""
+        return answers.groupBy("b").agg(F.collect_list(F.struct("n", "flag")).alias("got"))
+
+    sent = packs.select("b", "keys", "starts", "blob").mapInArrow(send, BUNDLE)
+    judged = Stage(_answered(sent, bits, np.uint64, judge), "judged")
+
+    def flags(got: list | None, n: int) -> np.ndarray:
+        out = np.zeros(n, np.uint8)
+        for x in got or []:
+            out[np.frombuffer(x["n"], np.uint32)] = np.frombuffer(x["flag"], np.uint8)
+        return out
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs with what is settled, and entries of buckets for what isn't."""
+        types, names = [pa.int64(), *[pa.binary()] * 8, *BUNDLE_TYPES], ["b", "keys", "starts", "blob", "rest", "first", "last", "place", "times", *BUNDLE_NAMES]
+        held, size = [], 0
+
+        def deal() -> Iterator[pa.RecordBatch]:
+            yield from _batch([(*[None] * 9, *row) for row in scatter(held, first)], types, names)
+
         for batch in batches:
-            for b, keys, starts, blob, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, starts, raw = _unpack(keys, starts, blob)
+            for b, *pack_, rest, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, starts, raw = _unpack(*pack_)
                 r = runs(raw, starts, length)
-                rep, kind = entries(r)
-                cut = cuts(r["h"][rep])
-                flags = {n: np.zeros(len(rep), bool) for n in ("gone", "ask", "hot")}
-                for x in got:
-                    i, j = cut[x["g"]], cut[x["g"] + 1]
-                    for n, f in flags.items():
-                        f[i:j] = np.unpackbits(np.frombuffer(x[n], np.uint8), count=j - i)
-                gone, hot = flags["gone"], np.flatnonzero(flags["ask"] & flags["hot"])
-                ask = flags["ask"] & ~flags["hot"]
-                least = keys[r["doc"][rep]][kind]
-                off = gone[kind] | (keys[r["doc"]] > least)
-                # a kind's runs in its smallest document: one is sent, with the places of all
-                own = np.flatnonzero(flags["ask"][kind] & (keys[r["doc"]] == least))
+                h, c, _, rep, kind, of = anchors(keys, r)
+                flag = flags(got, len(h))
+                doc = keys[r["doc"]]
+                least = doc[rep][kind]
+                # of a kind, its smallest document's runs stay for now
+                off = (doc > least) | (flag[of][kind] & GONE > 0)
+                ask, sends = (flag & ASK > 0) | (c == MANY), flag & ASK > 0
+                own = np.flatnonzero(~off & ask[of][kind])
+                # each kind's strings, then all places where its runs put them
                 own = own[np.argsort(kind[own], kind="stable")]
-                place, times = r["s0"][own], np.bincount(kind[own], minlength=len(rep))
-                head = np.cumsum(times) - times
-                # strings of hot anchors: equal ones go once, with the smallest document; those in larger ones are settled
-                count = r["s1"][rep[hot]] - r["s0"][rep[hot]] + 1
-                of, nth = np.repeat(hot, count), _count(count)
-                doc = keys[r["doc"][rep[of]]]
-                one, two = _whole(raw, r["s0"][rep[of]] + nth, length)
-                order = np.lexsort((doc, two, one))
-                one, two, doc, of, nth = one[order], two[order], doc[order], of[order], nth[order]
+                some, head, times = np.unique(kind[own], return_index=True, return_counts=True)
+                count = r["s1"][rep[some]] - r["s0"][rep[some]] + 1
+                run_, nth = np.repeat(np.arange(len(some)), count), _count(count)
+                one, two = buckets(raw, r["s0"][rep[some]][run_] + nth, length)
+                string, owner = doc[rep[some]][run_], sends[of[some]][run_]
+                order = np.lexsort((string, two, one))
+                one, two, string, owner, run_, nth = (x[order] for x in (one, two, string, owner, run_, nth))
                 new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
-                later = doc > (doc[new][np.cumsum(new) - 1] if len(doc) else doc)
-                start = np.repeat(nth, times[of]) + place[np.repeat(head[of], times[of]) + _count(times[of])]
-                settled_ = np.repeat(later, times[of])
-                first, last = _spans(np.concatenate([r["s0"][off], start[settled_]]), np.concatenate([r["s1"][off], start[settled_]]) + length)
-                start = start[~settled_]
-                many = np.add.reduceat(np.where(later, 0, times[of]), np.flatnonzero(new)) if len(of) else times[of]
-                one, two, doc = one[new], two[new], doc[new]
-                ends, begin = cuts(one), np.append(0, np.cumsum(many))
-                rows = [(0, -1, first.tobytes(), last.tobytes(), b"", b"", b"", b"")]
-                for g in range(groups):
-                    kinds = cut[g] + np.flatnonzero(ask[cut[g] : cut[g + 1]])
-                    if len(kinds):
-                        some, n = rep[kinds], times[kinds]
-                        s0, size = r["s0"][some], r["s1"][some] - r["s0"][some] + length
-                        at = np.repeat(s0, size) + _count(size)
-                        rows.append((1, g, place[np.repeat(head[kinds], n) + _count(n)].tobytes(), size.astype(np.uint32).tobytes(), keys[r["doc"][some]].tobytes(), r["h"][some].tobytes(), raw[at].tobytes(), n.astype(np.uint32).tobytes()))
-                    if ends[g] < ends[g + 1]:
-                        s = slice(ends[g], ends[g + 1])
-                        rows.append((2, g, start[begin[ends[g]] : begin[ends[g + 1]]].tobytes(), two[s].tobytes(), doc[s].tobytes(), one[s].tobytes(), b"", many[s].astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(rows), pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True))], names=["b", "kind", "g", "x", "y", "z", "h", "raw", "n"])
-
-    asked = packs.select("b", "keys", "starts", "blob").join(answers, "b").select("b", "keys", "starts", "blob", "answers")
-    settled = Stage(asked.mapInArrow(settle, "b long, kind int, g int, x binary, y binary, z binary, h binary, raw binary, n binary"), "settled").df
-    judged.drop()
+                bucket = np.cumsum(new) - 1
+                gone = string > string[new][bucket]
+                place = np.repeat(nth, times[run_]) + r["s0"][own[np.repeat(head[run_], times[run_]) + _count(times[run_])]]
+                settled = np.repeat(gone, times[run_])
+                x, y = _spans(np.concatenate([r["s0"][off], place[settled]]), np.concatenate([r["s1"][off], place[settled]]) + length)
+                # entries are buckets of anchors that others have too
+                out = new & owner
+                entry = np.repeat(owner[new][bucket] & ~gone, times[run_])
+                at = np.bincount(bucket[owner & ~gone], times[run_][owner & ~gone], len(new.nonzero()[0]))[owner[new]].astype(np.uint32)
+                held.append((b, 0, one[out], two[out], string[out]))
+                size += int(out.sum())
+                yield from _batch([(b, *pack_, rest, x.tobytes(), y.tobytes(), place[entry].astype(np.uint32).tobytes(), at.tobytes(), *[None] * 5)], types, names)
+                if size > HELD:
+                    yield from deal()
+                    held, size = [], 0
+        yield from deal()
 
-    def compare(table: pa.Table) -> pa.Table:
-        """Strings of runs that share an anchor but differ: those that start in a smaller document, as spans of a pack."""
-        size = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("y").to_pylist()]
-        pack_ = np.repeat(np.arange(len(size)), [len(x) for x in size])
-        size = np.concatenate(size)
-        place, doc = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(n).to_pylist()]) for n in ("x", "z"))
-        times = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64)
-        places = np.cumsum(times) - times
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()])
-        raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        order = np.argsort(h, kind="stable")
-        # runs of some anchors at a time: no string of one anchor equals one of another
-        new = np.append(True, h[order][1:] != h[order][:-1])
-        part = np.maximum.accumulate(np.where(new, np.cumsum(size[order]) // REFINED, 0))
-        found = []
-        for k in np.split(order, np.flatnonzero(np.diff(part)) + 1):
-            n = size[k]
-            head = np.concatenate([[0], np.cumsum(n)[:-1]])
-            count = n - length + 1
-            of = np.repeat(np.arange(len(k)), count)
-            nth = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-            bucket = refine(raw[np.repeat(begin[k] - head, n) + np.arange(n.sum())], head[of] + nth, length)
-            by = np.argsort(bucket, kind="stable")
-            least = np.minimum.reduceat(doc[k][of][by], np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)))
-            off = np.flatnonzero(doc[k][of] > least[bucket])
-            if len(off):
-                of, start = of[off], nth[off]
-                first = np.append(True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1))
-                at = np.flatnonzero(first)
-                low, high, of = start[at], start[np.append(at[1:], len(start)) - 1] + length, k[of[at]]
-                # what is found in a run holds at all its places
-                n = times[of]
-                here = place[np.repeat(places[of], n) + _count(n)]
-                found.append((np.repeat(pack_[of], n), here + np.repeat(low, n), here + np.repeat(high, n)))
-        out = []
-        if found:
-            of, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-            by = np.argsort(of, kind="stable")
-            names = table.column("b").to_pylist()
-            for at in np.split(by, np.flatnonzero(np.diff(of[by])) + 1):
-                x, y = _spans(first[at], last[at])
-                out.append((names[of[at[0]]], x.tobytes(), y.tobytes()))
-        return pa.table({"b": pa.array([x[0] for x in out], pa.int64()), "x": pa.array([x[1] for x in out], pa.binary()), "y": pa.array([x[2] for x in out], pa.binary())})
-
-    def match(table: pa.Table) -> pa.Table:
-        """Strings of hot anchors: those that start in a smaller document, as spans of a pack."""
-        names = table.column("b").to_pylist()
-        start, doc, one = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in (("x", np.int64), ("z", np.int64), ("h", np.uint64)))
-        two, times = (np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(n).to_pylist()]) for n in ("y", "n"))
-        of = np.repeat(np.arange(len(names)), [len(x) // 8 for x in table.column("x").to_pylist()])
-        order = np.lexsort((doc, two, one))
-        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
-        later = np.zeros(len(order), bool)
-        later[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
-        off = np.flatnonzero(np.repeat(later, times))
-        out = []
-        for i in np.unique(of[off]):
-            at = start[off[of[off] == i]]
-            x, y = _spans(at, at + length)
-            out.append((names[i], x.tobytes(), y.tobytes()))
-        return pa.table({"b": pa.array([x[0] for x in out], pa.int64()), "x": pa.array([x[1] for x in out], pa.binary()), "y": pa.array([x[2] for x in out], pa.binary())})
-
-    strings = settled.where("kind = 2").select("b", "g", "x", "y", "z", "h", "n").groupBy("g").applyInArrow(match, "b long, x binary, y binary")
-    fine = settled.where("kind = 1").select("b", "g", "x", "y", "z", "h", "raw", "n").groupBy("g").applyInArrow(compare, "b long, x binary, y binary")
-    spans = settled.where("kind = 0").select("b", "x", "y").unionByName(fine).unionByName(strings).groupBy("b").agg(F.collect_list(F.struct("x", "y")).alias("spans"))  # two for each group and one more
+    asked = packs.join(gathered(judged.df), "b", "left").select("b", "keys", "starts", "blob", "rest", "got")
+    settled = Stage(asked.mapInArrow(settle, "b long, keys binary, starts binary, blob binary, rest binary, first binary, last binary, place binary, times binary, " + BUNDLE), "settled").df
+    judged.drop()
+    staged.drop()
+    found = gathered(_answered(settled.where("g is not null").select("g", "heads", "x", "y", "z"), bits, np.uint32, later))
+    done = settled.where("g is null").join(found, "b", "left").select("keys", "starts", "blob", "rest", "first", "last", "place", "times", "got")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, starts, blob, rest, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, starts, raw = _unpack(keys, starts, blob)
-                first, last = (np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x[n], np.int64) for x in got)]) for n in ("x", "y"))
+            for *pack_, rest, first, last, place, times, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, starts, raw = _unpack(*pack_)
+                times = np.frombuffer(times, np.uint32)
+                more = np.frombuffer(place, np.uint32).astype(np.int64)[np.repeat(flags(got, len(times)) > 0, times)]
+                first, last = np.concatenate([np.frombuffer(first, np.int64), more]), np.concatenate([np.frombuffer(last, np.int64), more + length])
                 rest = pa.ipc.open_stream(rest).read_next_batch()
                 known = rest.column(len(keep)).to_pylist()
                 edge = np.zeros(len(raw) + 1, np.int32)
@@ -397,7 +477,6 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                         rows.append((int(keys[i]) if known[i] else None, int(e - s), [{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)], raw[s:e][~o].tobytes().decode("utf-8", "ignore") if as_text else raw[s:e][~o].tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string() if as_text else pa.binary()), strict=True)] + [rest.column(i).slice(at, 500) for i in range(len(keep))], names=["key", "n", "spans", "kept", *(f"k{i}" for i in range(len(keep)))])
 
-    done = packs.select("b", "keys", "starts", "blob", "rest").join(spans, "b", "left").select("keys", "starts", "blob", "rest", F.coalesce("spans", F.array().cast("array<struct<x:binary,y:binary>>")))
     more = "".join(f", k{i} {types[c]}" for i, c in enumerate(keep))
     out = done.mapInArrow(cut_out, "key long, n long, spans array<struct<start:bigint,end:bigint>>, kept " + ("string" if as_text else "binary") + more)
     return out.select(F.col("key").cast(types[key]).alias(key), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("n").alias("n_bytes"), "spans", "kept")

@@ -194,12 +194,14 @@ def expected_repeats(length):
     return out
 
 
-@pytest.mark.parametrize(("small", "hot"), [(False, 64), (True, 64), (True, 2), (False, 3)])
-def test_repeats(docs, small, hot, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", hot)
-    if small:  # many packs and slices
+@pytest.mark.parametrize("small", [False, True])
+def test_repeats(docs, small, monkeypatch):
+    if small:  # many packs, slices and rounds
         monkeypatch.setattr(suffix, "PACK", 3000)
         monkeypatch.setattr(suffix, "SLICE", 512)
+        monkeypatch.setattr(suffix, "GROUPS", 64)
+        monkeypatch.setattr(suffix, "FAN", 4)
+        monkeypatch.setattr(suffix, "HELD", 500)
         suffix._tables.clear()
     want = expected_repeats(50)
     got = suffix.dedup(docs, keep=["n", "t", "key"]).collect()
@@ -228,10 +230,10 @@ def brute_repeats(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_repeats_within_a_document(spark, hot, monkeypatch):
+@pytest.mark.parametrize("pack", [suffix.PACK, 100])
+def test_repeats_within_a_document(spark, pack, monkeypatch):
     """A passage that a document repeats in like surroundings, and a smaller document holds in others, goes everywhere."""
-    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "PACK", pack)
     rng = random.Random(12)
     text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
     rows = []
@@ -253,14 +255,29 @@ def test_runs_that_differ_stay(spark):
         assert got == brute_repeats([a, b])
 
 
-def test_refined_buckets():
+@pytest.mark.parametrize("pack", [suffix.PACK, 400])
+def test_one_line_between_others(spark, pack, monkeypatch):
+    """A line of 60 bytes between ever different neighbours, some of which come again."""
+    monkeypatch.setattr(suffix, "PACK", pack)
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    line, sides = text(60), [text(40) for _ in range(30)]
+    rows = [(i, rng.choice(sides) + line + rng.choice(sides) + (text(70) if i % 3 else line)) for i in range(120)]
+    got = {r.doc_id: bytes(r.kept) for r in suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_repeats(rows)
+
+
+def test_refined_buckets(monkeypatch):
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 99, 3000).astype(np.uint8)
     raw[1000:1200] = raw[:200]
-    at = np.arange(len(raw) - 50)
-    got = suffix.refine(raw, at, 50)
-    strings = [raw[i : i + 50].tobytes() for i in at]
-    assert len(set(zip(strings, got, strict=True))) == len(set(strings)) == len(set(got)) < len(at)
+    for length in (50, 16, 33):
+        at = np.concatenate([np.arange(0, 700), np.arange(950, 1100), [1500, 2800]])
+        strings = [raw[i : i + length].tobytes() for i in at]
+        for size in (1 << 18, 64):
+            monkeypatch.setattr(suffix, "SLICE", size)
+            got = list(zip(*suffix.buckets(raw, at, length), strict=True))
+            assert len(set(zip(strings, got, strict=True))) == len(set(strings)) == len(set(got)) < len(at)
 
 
 def test_repeats_edges(empty, nulls):
