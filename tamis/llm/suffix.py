@@ -30,9 +30,9 @@ from .common import Stage, tune
 #: Bytes of text in a pack (one longer text is a pack of its own), bytes looked at together, bytes of an anchor.
 PACK, SLICE, GRAM = 2 << 20, 1 << 18, 24
 #: Text for which there is one group of entries, and groups at least; groups that entries are dealt to in a round.
-GROUP_BYTES, GROUPS, FAN = 4 << 20, 64, 1 << 13
+GROUP_BYTES, GROUPS, FAN = 16 << 20, 64, 1 << 11
 #: Entries that a task holds to be dealt out or answered together.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Flags of an answer; stands for several kinds in place of one.
 GONE, ASK = 1, 2
 MANY = np.uint64(0)
@@ -193,8 +193,19 @@ def buckets(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     return one, two
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones and so on: what numbers have in common lies together."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(raw: np.ndarray, n: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The first n numbers of planes, and the rest."""
+    size = n * np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw[:size].reshape(-1, n).T).view(kind).ravel(), raw[size:]
+
+
 def scatter(parts: list[tuple], bits: int) -> list[tuple]:
-    """Entries of packs by group, the upper `bits` of their hashes: (group, heads, x, y, z). parts: (pack, number of the first
+    """Entries of packs by group, the upper `bits` of their hashes: (group, heads, entries). parts: (pack, number of the first
     entry, x, y, z), x the hashes in order; heads: pack, number of the first entry and entries, of each part in the group."""
     sizes = [len(p[2]) for p in parts]
     if not sum(sizes):
@@ -205,22 +216,27 @@ def scatter(parts: list[tuple], bits: int) -> list[tuple]:
     of = np.repeat(np.arange(len(parts)), sizes)[order]
     number = (np.repeat(np.array([p[1] for p in parts]), sizes) + _count(np.array(sizes)))[order]
     g, x, y, z = g[order], x[order], y[order], z[order]
-    new = np.append(True, (g[1:] != g[:-1]) | (of[1:] != of[:-1]))
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (of[1:] != of[:-1])))
     heads = np.stack([np.array([p[0] for p in parts])[of[at]], number[at], np.diff(np.append(at, len(g)))], 1).astype(np.int64)
     cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    low, high = np.searchsorted(at, cut), np.searchsorted(at, np.append(cut[1:], len(g)))
-    return [(int(g[i]), heads[p:q].tobytes(), x[i:j].tobytes(), y[i:j].tobytes(), z[i:j].tobytes()) for i, j, p, q in zip(cut, np.append(cut[1:], len(g)), low, high, strict=True)]
+    end = np.append(cut[1:], len(g))
+    low, high = np.searchsorted(at, cut), np.searchsorted(at, end)
+    squeeze = zstandard.ZstdCompressor(level=1)
+    return [(int(g[i]), heads[p:q].tobytes(), squeeze.compress(_planes(np.diff(x[i:j], prepend=np.uint64(0))) + _planes(y[i:j]) + _planes(z[i:j]))) for i, j, p, q in zip(cut, end, low, high, strict=True)]
 
 
 def _parts(rows: list[tuple], kind: type) -> list[tuple]:
     """What `scatter` was given, from its rows."""
     out = []
-    for heads, x, y, z in rows:
+    for heads, entries in rows:
         heads = np.frombuffer(heads, np.int64).reshape(-1, 3)
-        x, y, z = np.frombuffer(x, np.uint64), np.frombuffer(y, kind), np.frombuffer(z, np.int64)
-        at = np.cumsum(heads[:, 2]) - heads[:, 2]
-        out += [(int(b), int(n), x[i : i + k], y[i : i + k], z[i : i + k]) for (b, n, k), i in zip(heads, at, strict=True)]
+        n = int(heads[:, 2].sum())
+        rest = np.frombuffer(zstandard.decompress(entries), np.uint8)
+        x, rest = _numbers(rest, n, np.uint64)
+        y, rest = _numbers(rest, n, kind)
+        z, _ = _numbers(rest, n, np.int64)
+        x, at = np.cumsum(x, dtype=np.uint64), np.cumsum(heads[:, 2]) - heads[:, 2]
+        out += [(int(b), int(first), x[i : i + k], y[i : i + k], z[i : i + k]) for (b, first, k), i in zip(heads, at, strict=True)]
     return out
 
 
@@ -262,8 +278,8 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> Ite
         at = end
 
 
-BUNDLE = "g long, heads binary, x binary, y binary, z binary"
-BUNDLE_TYPES, BUNDLE_NAMES = [pa.int64(), *[pa.binary()] * 4], ["g", "heads", "x", "y", "z"]
+BUNDLE = "g long, heads binary, entries binary"
+BUNDLE_TYPES, BUNDLE_NAMES = [pa.int64(), pa.binary(), pa.binary()], ["g", "heads", "entries"]
 
 
 def _answered(bundles: DataFrame, bits: int, kind: type, answer: Callable) -> DataFrame:
@@ -279,7 +295,7 @@ def _answered(bundles: DataFrame, bits: int, kind: type, answer: Callable) -> Da
                         held, size = [], 0
                     now = g
                     held.append(row)
-                    size += len(row[1]) // 8
+                    size += int(np.frombuffer(row[0], np.int64)[2::3].sum())
             if held:
                 yield from _batch(scatter(_parts(held, kind), bits), BUNDLE_TYPES, BUNDLE_NAMES)
 
@@ -441,7 +457,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                 at = np.bincount(bucket[owner & ~gone], times[run_][owner & ~gone], len(new.nonzero()[0]))[owner[new]].astype(np.uint32)
                 held.append((b, 0, one[out], two[out], string[out]))
                 size += int(out.sum())
-                yield from _batch([(b, *pack_, rest, x.tobytes(), y.tobytes(), place[entry].astype(np.uint32).tobytes(), at.tobytes(), *[None] * 5)], types, names)
+                yield from _batch([(b, *pack_, rest, x.tobytes(), y.tobytes(), place[entry].astype(np.uint32).tobytes(), at.tobytes(), *[None] * 3)], types, names)
                 if size > HELD:
                     yield from deal()
                     held, size = [], 0
@@ -451,7 +467,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
     settled = Stage(asked.mapInArrow(settle, "b long, keys binary, starts binary, blob binary, rest binary, first binary, last binary, place binary, times binary, " + BUNDLE), "settled").df
     judged.drop()
     staged.drop()
-    found = gathered(_answered(settled.where("g is not null").select("g", "heads", "x", "y", "z"), bits, np.uint32, later))
+    found = gathered(_answered(settled.where("g is not null").select("g", "heads", "entries"), bits, np.uint32, later))
     done = settled.where("g is null").join(found, "b", "left").select("keys", "starts", "blob", "rest", "first", "last", "place", "times", "got")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
