@@ -30,7 +30,7 @@ from .common import Stage, tune
 #: Bytes of text in a pack (one longer text is a pack of its own), bytes looked at together, bytes of an anchor.
 PACK, SLICE, GRAM = 2 << 20, 1 << 18, 24
 #: Text for which there is one group of entries, and groups at least; groups that entries are dealt to in a round.
-GROUP_BYTES, GROUPS, FAN = 16 << 20, 64, 1 << 11
+GROUP_BYTES, GROUPS, FAN = 4 << 20, 64, 1 << 14
 #: Entries that a task holds to be dealt out or answered together.
 HELD = 1 << 18
 #: Flags of an answer; stands for several kinds in place of one.
@@ -95,8 +95,9 @@ def runs(raw: np.ndarray, starts: np.ndarray, length: int) -> dict[str, np.ndarr
         p = anchor[s0]
         text = (prefix[s1 + length] - prefix[s0]) * t["down"][s0]
         shape = ((s1 - s0) * 64 + (p - s0)).astype(np.uint64)
-        # least hashes are small numbers: mixed again they spread over all groups
-        out.append((s0 + at, s1 + at, doc[s0], _mixed(h[p] + np.uint64(K)), _mixed(text ^ _mixed(shape + np.uint64(7)))))
+        # least hashes are small numbers: mixed again they spread over all groups. 48 bits of them do: anchors taken for one
+        # are only asked about more, as the run's own 64 bits say what is equal
+        out.append((s0 + at, s1 + at, doc[s0], _mixed(h[p] + np.uint64(K)) >> np.uint64(16) << np.uint64(16), _mixed(text ^ _mixed(shape + np.uint64(7)))))
     names = ("s0", "s1", "doc", "h", "c")
     if not out:
         return dict(zip(names, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)), strict=True))
@@ -201,7 +202,7 @@ def _planes(x: np.ndarray) -> bytes:
 def _numbers(raw: np.ndarray, n: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """The first n numbers of planes, and the rest."""
     size = n * np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw[:size].reshape(-1, n).T).view(kind).ravel(), raw[size:]
+    return np.ascontiguousarray(raw[:size].reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel(), raw[size:]
 
 
 def scatter(parts: list[tuple], bits: int) -> list[tuple]:
@@ -384,8 +385,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         if held:
             yield one(held, kinds)
 
-    staged = Stage(docs.mapInArrow(pack, "keys binary, starts binary, blob binary, rest binary, size long").withColumn("b", F.monotonically_increasing_id()), "packs")
-    packs = staged.df
+    packs = Stage(docs.mapInArrow(pack, "keys binary, starts binary, blob binary, rest binary, size long").withColumn("b", F.monotonically_increasing_id()), "packs").df
     total = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bits = (max(GROUPS, -(-total // GROUP_BYTES)) - 1).bit_length()
     first = min(bits, FAN.bit_length() - 1)
@@ -417,15 +417,15 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         return out
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs with what is settled, and entries of buckets for what isn't."""
-        types, names = [pa.int64(), *[pa.binary()] * 8, *BUNDLE_TYPES], ["b", "keys", "starts", "blob", "rest", "first", "last", "place", "times", *BUNDLE_NAMES]
+        """What is settled in a pack, and entries of buckets for what isn't."""
+        types, names = [pa.int64(), *[pa.binary()] * 4, *BUNDLE_TYPES], ["b", "first", "last", "place", "times", *BUNDLE_NAMES]
         held, size = [], 0
 
         def deal() -> Iterator[pa.RecordBatch]:
-            yield from _batch([(*[None] * 9, *row) for row in scatter(held, first)], types, names)
+            yield from _batch([(*[None] * 5, *row) for row in scatter(held, first)], types, names)
 
         for batch in batches:
-            for b, *pack_, rest, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, *pack_, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, starts, raw = _unpack(*pack_)
                 r = runs(raw, starts, length)
                 h, c, _, rep, kind, of = anchors(keys, r)
@@ -457,25 +457,25 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                 at = np.bincount(bucket[owner & ~gone], times[run_][owner & ~gone], len(new.nonzero()[0]))[owner[new]].astype(np.uint32)
                 held.append((b, 0, one[out], two[out], string[out]))
                 size += int(out.sum())
-                yield from _batch([(b, *pack_, rest, x.tobytes(), y.tobytes(), place[entry].astype(np.uint32).tobytes(), at.tobytes(), *[None] * 3)], types, names)
+                yield from _batch([(b, x.tobytes(), y.tobytes(), zstandard.compress(_planes(place[entry].astype(np.uint32)), 1), zstandard.compress(_planes(at), 1), *[None] * 3)], types, names)
                 if size > HELD:
                     yield from deal()
                     held, size = [], 0
         yield from deal()
 
-    asked = packs.join(gathered(judged.df), "b", "left").select("b", "keys", "starts", "blob", "rest", "got")
-    settled = Stage(asked.mapInArrow(settle, "b long, keys binary, starts binary, blob binary, rest binary, first binary, last binary, place binary, times binary, " + BUNDLE), "settled").df
+    asked = packs.join(gathered(judged.df), "b", "left").select("b", "keys", "starts", "blob", "got")
+    settled = Stage(asked.mapInArrow(settle, "b long, first binary, last binary, place binary, times binary, " + BUNDLE), "settled").df
     judged.drop()
-    staged.drop()
     found = gathered(_answered(settled.where("g is not null").select("g", "heads", "entries"), bits, np.uint32, later))
-    done = settled.where("g is null").join(found, "b", "left").select("keys", "starts", "blob", "rest", "first", "last", "place", "times", "got")
+    done = packs.join(settled.where("g is null").select("b", "first", "last", "place", "times"), "b").join(found, "b", "left").select("keys", "starts", "blob", "rest", "first", "last", "place", "times", "got")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for *pack_, rest, first, last, place, times, got in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, starts, raw = _unpack(*pack_)
-                times = np.frombuffer(times, np.uint32)
-                more = np.frombuffer(place, np.uint32).astype(np.int64)[np.repeat(flags(got, len(times)) > 0, times)]
+                place, times = (np.frombuffer(zstandard.decompress(x), np.uint8) for x in (place, times))
+                place, times = (_numbers(x, len(x) // 4, np.uint32)[0] for x in (place, times))
+                more = place.astype(np.int64)[np.repeat(flags(got, len(times)) > 0, times)]
                 first, last = np.concatenate([np.frombuffer(first, np.int64), more]), np.concatenate([np.frombuffer(last, np.int64), more + length])
                 rest = pa.ipc.open_stream(rest).read_next_batch()
                 known = rest.column(len(keep)).to_pylist()
