@@ -466,17 +466,102 @@ def test_quality_edges(docs, empty, nulls, spark):
     assert {r.score for r in quality.rate(nulls, None, "text", ["doc_id"]).collect()} == {0.5}
 
 
-def test_passages_cover_long_texts():
-    bags = quality.passages(["word " * 100_000, None, "one"])
-    assert [len(b) for b in bags][1:] == [1, 1] and 1 < len(bags[0]) <= quality.PASSAGES
+def test_repeated_rows_score_alike(docs, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, quality int")
+    twice = docs.union(docs)
+    model = quality.learn(twice, labels, "text", "doc_id", "quality", F.lit(True))
+    assert all((model[k] == v).all() for k, v in quality.learn(docs, labels, "text", "doc_id", "quality", F.lit(True)).items())
+    got = collections.defaultdict(set)
+    for r in quality.rate(twice, model, "text", ["doc_id"]).collect():
+        got[r.doc_id].add(r.score)
+    assert all(len(x) == 1 for x in got.values())
+
+
+def plain_score(p, text):
+    """The forward pass in plain Python, from words."""
+    w = words(text)
+    parts = [w[i : i + quality.PASSAGE] for i in range(0, len(w), quality.PASSAGE)] or [[]]
+    every = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    h, s = [], []
+    for i, part in enumerate(parts):
+        x = np.zeros(quality.WIDTH)
+        e = np.zeros(quality.HIDDEN)
+        if part:
+            begin = every[i * quality.PASSAGE][0]
+            end = every[(i + 1) * quality.PASSAGE][0] if (i + 1) * quality.PASSAGE < len(every) else len(text)
+            chars, k = text[begin:end], len(quality.SYMBOLS)
+            letters = [c for c in chars if c.isalpha()]
+            low = [x_.translate(str.maketrans({chr(j): chr(j + 32) for j in range(65, 91)})) for x_ in part]
+            x[:k] = [chars.count(m) / len(part) for m in quality.SYMBOLS]
+            x[k] = len(letters) / len(chars)
+            x[k + 1] = sum("A" <= c <= "Z" for c in letters) / max(1, len(letters))
+            x[k + 2] = sum("0" <= c <= "9" for c in chars) / len(chars)
+            x[k + 3] = sum(ord(c) >= 128 for c in chars) / len(chars)
+            x[k + 4] = chars.count("\n") / len(part)
+            x[k + 5] = np.mean([np.log1p(len(x_)) for x_ in part])
+            x[k + 6] = np.mean([len(x_) <= 3 for x_ in part])
+            x[k + 7] = sum(a == b for a, b in zip(low, low[1:], strict=False)) / len(part)
+            x[k + 8] = (len(low) - len(set(low))) / len(part)
+            x[k + 9] = np.log1p(len(part)) / 5
+            x[k + 10] = 1
+            mask = (1 << 64) - 1
+            tokens = []
+            for word in low:
+                value = sum(ord(c) * ((j * int(quality.ODD) | 1) & mask) for j, c in enumerate(word)) & mask
+                for salt, v in ((1, value), (2, gram(word)), (3, gram(word[::-1]))):
+                    v = (v ^ (v >> 29) ^ (salt << 40)) * int(quality.ODD) & mask
+                    tokens.append(((v ^ (v >> 32)) * int(quality.ODD) & mask) >> (64 - quality.BUCKETS.bit_length() + 1))
+            e = np.mean([p["e"][t] for t in tokens], axis=0)
+        one = np.tanh((x.astype(np.float32) - p["mean"]) / p["std"] @ p["w"] + p["b"] + e)
+        h.append(one)
+        s.append(float((np.tanh(one @ p["v"]) / (1 + np.exp(-(one @ p["u"])))) @ p["a"]))
+    a = np.exp(np.array(s) - max(s))
+    return 1 / (1 + np.exp(-((a / a.sum()) @ np.array(h) @ p["c"] + p["d"][0])))
+
+
+def gram(word):
+    out = 0
+    for j in range(3):
+        out = out * (1 << 21) + (ord(word[j]) + 1 if j < len(word) else 0)
+    return out
 
 
-def test_gradient():
+def test_scores_by_brute_force(monkeypatch):
+    """Against plain Python, with texts of any number of passages, cut in layouts and in segments or not."""
+    rng = np.random.default_rng(3)
+    some = [t for t in TEXT.values() if t is None or len(t) < 5000] + ["Wörter UND Zahlen 12 34, (so) so so!\n" * 90]
+    labels = rng.integers(0, 2, len(some)).astype(float)
+    p = quality.train(quality.bags(some), labels)
+    want = [plain_score(p, t) for t in some]
+    assert np.allclose(quality.score(p, some), want, atol=1e-5)
+    long = " ".join(t for t in some if t)
+    whole = quality.score(p, [None, long, "x"])
+    from tamis.llm import letters
+
+    monkeypatch.setattr(quality, "CHUNK", 2000)
+    monkeypatch.setattr(letters, "CHUNK", 2000)
+    assert np.allclose(quality.score(p, [None, long, "x"]), whole, atol=1e-6) and len(quality._segments([long])[0]) > 5
+    assert np.allclose(whole, [plain_score(p, t) for t in (None, long, "x")], atol=1e-5)
+
+
+def test_gradient(monkeypatch):
+    """The gradient against differences of the loss."""
+    monkeypatch.setattr(quality, "BUCKETS", 64)
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(rng.integers(1, 5), quality.WIDTH)) for _ in range(60)]
-    labels = np.array([float(b[:, 0].max() > 0.5) for b in bags])
-    p = quality.train(bags, labels)
-    assert np.mean((quality.score(p, bags) > 0.5) == (labels > 0.5)) > 0.95
+    some = quality.bags([ROWS[i][1] for i in range(12)] + [None])
+    some = [(x, t % 64, s) for x, t, s in some]
+    labels = rng.integers(0, 2, len(some)).astype(float)
+    p = {"mean": np.zeros(quality.WIDTH), "std": np.ones(quality.WIDTH)} | {k: rng.normal(0, 0.3, s) for k, s in {"b": (quality.HIDDEN,), "d": (1,), "e": (64, quality.HIDDEN), "w": (quality.WIDTH, quality.HIDDEN), "v": (quality.HIDDEN, quality.ATTENTION), "u": (quality.HIDDEN, quality.ATTENTION), "a": (quality.ATTENTION,), "c": (quality.HIDDEN,)}.items()}
+    grad, _ = quality.gradient(p, some, labels)
+    for k, g in grad.items():
+        for i in rng.integers(0, g.size, 4):
+            at = np.unravel_index(i, g.shape)
+            loss = []
+            for step in (1e-5, -1e-5):
+                q = {n: x.copy() for n, x in p.items()}
+                q[k][at] += step
+                loss.append(quality.gradient(q, some, labels)[1])
+            assert g[at] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-6)
 
 
 # licences
