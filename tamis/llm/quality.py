@@ -85,11 +85,12 @@ def passages(part: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
             chars = np.maximum(1, np.bincount(of_char, minlength=total))
             letters = np.bincount(of_char, letter, total)
             length = np.log1p(last - first)
-            # a word's value: sum of its code points, A-Z as a-z, times odd numbers by place
+            # a word's value: sum over its code points, A-Z as a-z, of a hash of code point and place
             low = codes + 32 * ((codes >= 65) & (codes <= 90)).astype(np.uint32)
             place = np.arange(len(codes)) - first[np.maximum(0, np.searchsorted(first, np.arange(len(codes)), "right") - 1)]
             with np.errstate(over="ignore"):
-                value = np.add.reduceat(low.astype(np.uint64) * (place.astype(np.uint64) * ODD | np.uint64(1)), np.stack([first, last], 1).ravel()[: 2 * len(first)])[::2]
+                each = (low.astype(np.uint64) ^ place.astype(np.uint64) << np.uint64(21)) * ODD
+                value = np.add.reduceat((each ^ each >> np.uint64(31)) * ODD, np.stack([first, last], 1).ravel())[::2]
                 begin, end = (_trigram(low, first, last, i) for i in (0, 1))
                 tokens = np.stack([_bucket(value, 1), _bucket(begin, 2), _bucket(end, 3)], 1).ravel()
             same = np.zeros(len(value))

@@ -507,7 +507,8 @@ def plain_score(p, text):
             mask = (1 << 64) - 1
             tokens = []
             for word in low:
-                value = sum(ord(c) * ((j * int(quality.ODD) | 1) & mask) for j, c in enumerate(word)) & mask
+                each = [(ord(c) ^ j << 21) * int(quality.ODD) & mask for j, c in enumerate(word)]
+                value = sum((v ^ v >> 31) * int(quality.ODD) for v in each) & mask
                 for salt, v in ((1, value), (2, gram(word)), (3, gram(word[::-1]))):
                     v = (v ^ (v >> 29) ^ (salt << 40)) * int(quality.ODD) & mask
                     tokens.append(((v ^ (v >> 32)) * int(quality.ODD) & mask) >> (64 - quality.BUCKETS.bit_length() + 1))
