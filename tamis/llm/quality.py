@@ -56,7 +56,7 @@ def _segments(part: list[str | None]) -> tuple[list[str], list[int]]:
 
 def passages(part: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, rates, tokens, starts) of some passages at a time, in order: the text that each passage is of, an array of
-    passages x WIDTH, hashed words and trigrams, and where each passage's begin. A text without words is one passage."""
+    passages x WIDTH, hashed words and trigrams, and where each passage's begin. A text without words is one passage, of zeros."""
     kind = np.full(128, -1, np.int64)
     kind[[ord(x) for x in SYMBOLS]] = np.arange(len(SYMBOLS))
     segments, owner = _segments(part)
@@ -111,6 +111,7 @@ def passages(part: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
             x[:, k + 8] = np.bincount(of_word, again, total) / w
             x[:, k + 9] = np.log1p(w) / 5
             x[:, k + 10] = 1
+            x[np.bincount(of_word, minlength=total) == 0] = 0
         yield np.repeat(owner[which[0] : which[0] + n], count), x.astype(np.float32), tokens, np.searchsorted(of_word, np.arange(total + 1)) * 3
 
 
