@@ -24,9 +24,13 @@ _roots: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound what Arrow hands to a Python worker at once, so that long texts can't exhaust it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound what Arrow hands to a Python worker at once, so that long texts can't exhaust it. Plans read these settings of
+    the session when they run, so they stay; tighter ones of the caller's are left."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(name))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def _root(spark: SparkSession) -> str:

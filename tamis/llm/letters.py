@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters laid out at once; one longer text is laid out alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACES = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], np.uint32)
 
 _letters: list[np.ndarray] = []

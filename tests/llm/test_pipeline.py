@@ -98,5 +98,12 @@ def test_tokens(steps):
     assert collections.Counter((r.doc_id, bytes(r.ids)) for r in steps[5].collect()) == want
 
 
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, f in pipeline.STAGES:
+        docs = f(spark, docs, DATA)
+        assert docs.count() == 0
+
+
 def test_run(spark):
     assert pipeline.run(spark, DATA).count() > 0 and pipeline.ORACLE_SQL is None

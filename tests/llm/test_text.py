@@ -431,6 +431,71 @@ def test_language_mixture(spark):
     assert row.lang_pred == "en" and set(row.langs) == {"en", "de"} and 0.5 < row.score < 0.85 and (row.p, row.s) == ("x", "y")
 
 
+def plain_language(text, logs):
+    """EM over words and the nested choice, in plain Python: the chosen proportions; None without letters."""
+    low, grams = (text or "").lower() + "\n", logs.shape[1] // 2
+    mask = (1 << 64) - 1
+    code = [ord(c) if c.isalpha() else 0 for c in low]
+    like, word = [], None
+    for i, c in enumerate(code):
+        if not c:
+            word = None
+            continue
+        before, after = code[i - 1] if i else 0, code[i + 1] if i + 1 < len(code) else 0
+        two = (before * 0x9E3779B1 + c * 0x85EBCA77) * 0xC2B2AE3D27D4EB4F & mask
+        three = (before * 0x9E3779B1 + c * 0x85EBCA77 + after * 0x27D4EB2F + 1) * 0xC2B2AE3D27D4EB4F & mask
+        step = np.array([g[(two >> 40) % grams] + g[(three >> 40) % grams + grams] for g in logs], float)
+        if word is None:
+            word = len(like)
+            like.append(step)
+        else:
+            like[word] = like[word] + step
+    if not like:
+        return None
+    e = [np.maximum(np.exp(x - x.max()), langid.FLOOR) for x in like]
+
+    def em(allowed):
+        theta = allowed / allowed.sum()
+        for _ in range(langid.ROUNDS):
+            theta = sum(x * theta / (x * theta).sum() for x in e) / len(e)
+            theta = np.maximum(theta, 1e-12) * allowed
+        return theta, sum(np.log((x * theta).sum()) for x in e)
+
+    order = np.argsort(-em(np.ones(len(logs)))[0], kind="stable")
+    best, score = np.eye(len(logs))[order[0]], None
+    score = sum(np.log(x[order[0]]) for x in e)
+    for k in range(2, len(logs) + 1):
+        theta, now = em(np.isin(np.arange(len(logs)), order[:k]).astype(float))
+        now -= (k - 1) * (langid.PRICE + np.log(len(e)) / 2)
+        if now <= score:
+            break
+        best, score = theta, now
+    return best
+
+
+def test_language_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs, logs = langid.learn(docs, "text", "lang", F.col("doc_id"))
+    rows = docs.where("n_chars < 900").orderBy("doc_id").limit(60).collect()
+    some = [r.text for r in rows] + [a.text + " " + b.text for a, b in zip(rows, rows[1:], strict=False)][:40] + [None, "", "123", "é"]
+    got = langid.infer(some, logs)
+    for t, g in zip(some, got, strict=True):
+        want = plain_language(t, logs)
+        assert (g is None) == (want is None) and (g is None or np.allclose(g, want, atol=1e-4)), t
+    assert sum(g is not None and (g > 0).sum() > 1 for g in got) > 5
+
+
+def test_language_of_repeated_rows(docs, spark):
+    """Rows repeat, a null stands beside a very long text, and each is judged apart."""
+    langs, logs = langid.learn(docs, "text", "lang", F.col("doc_id"))
+    long = " ".join(t for t in TEXT.values() if t) * 3
+    df = spark.createDataFrame([(1, None), (2, long), (3, None), (2, long), (4, "one word"), (4, "one word")], "doc_id long, text string").coalesce(1)
+    got = collections.defaultdict(set)
+    for r in langid.identify(df, langs, logs, "text", ["doc_id"]).collect():
+        got[r.doc_id].add((r.lang_pred, r.score))
+    assert all(len(x) == 1 for x in got.values()) and got[1] == got[3] == {("und", 0.0)}
+
+
 def test_language_edges(docs, empty, nulls):
     langs, logs = langid.learn(docs, "text", "lang", F.col("doc_id"))
     assert langs == ["de", "en"]
@@ -630,6 +695,14 @@ def test_bpe(docs, public, spark):
         assert r.decoded == public.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_repeated_rows(docs):
+    some = docs.where("length(text) < 3000 or text is null").limit(40)
+    got = collections.defaultdict(set)
+    for r in bpe.encode(some.union(some), queries.vocabulary()).collect():
+        got[r.doc_id].add((bytes(r.ids), r.decoded))
+    assert len(got) == 40 and all(len(x) == 1 for x in got.values())
+
+
 def test_merges_are_leftmost_lowest():
     rng = random.Random(2)
     pairs = {a << 32 | b: (rng.randint(0, 40) * 100 + a * 6 + b, rng.randint(0, 5)) for a in range(6) for b in range(6) if rng.random() < 0.6}
