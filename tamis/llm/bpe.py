@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, tune
+from .common import texts, tidy, tune
 
 FREE = 1 << 62
 #: Pieces whose ids a Python worker keeps, and as many from before that; those not met again go. It bounds memory and
@@ -172,5 +172,5 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] |
                 got = [t.encode(x or "") for x in column[at : at + 500]]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, 500) for i in range(len(keep))), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())], names=[*(f"k{i}" for i in range(len(keep))), "n", "i", "d"])
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("n").alias("n_tokens"), F.col("i").alias("ids"), F.col("d").alias("decoded"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from pyspark.sql.window import Window
 #: A word is a run of characters other than ASCII white space.
 SPACE = r"\x20\x09-\x0D"
 #: A Python worker gets at most this much text at once (one longer row still comes alone).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 1000
 #: Tables of at most this many rows may be broadcast, behind a count; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
@@ -157,3 +159,19 @@ def texts(batches: Iterator, column: int) -> Iterator:
     """Arrow batches with one column as Python strings."""
     for batch in batches:
         yield batch, batch.column(column).to_pylist()
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives the memory it freed back when a task ends: Python workers are used again, and
+    would hold on to what an earlier step needed most."""
+
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return out

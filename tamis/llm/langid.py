@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, tune, unit
+from .common import texts, tidy, tune, unit
 from .letters import is_letter, layouts, runs
 
 GRAMS = 1 << 15
@@ -115,7 +115,7 @@ def learn(df: DataFrame, text: str, lang: str, key: Column, rows: int = TRAIN_RO
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.float64())], names=["l", "g", "n"])
 
-    counts = some.where(F.col("u") < share).select("t", "l").mapInArrow(count, "l string, g int, n double").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
+    counts = some.where(F.col("u") < share).select("t", "l").mapInArrow(tidy(count), "l string, g int, n double").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["l"].unique())
     table = np.full((len(langs), GRAMS), 0.5)
     for k, l in enumerate(langs):
@@ -153,7 +153,7 @@ def identify(df: DataFrame, langs: list[str], logs: np.ndarray, text: str, keep:
                 names=[*(f"k{i}" for i in range(len(keep))), "p", "s", "m"],
             )
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("p").alias("lang_pred"), F.col("s").alias("score"), F.col("m").alias("langs"))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, stage, tune
+from .common import Stage, bounded, components, stage, tidy, tune
 from .letters import SPACES, runs
 
 REGISTERS, MANTISSA, BANDS = 128, 10, 32
@@ -143,7 +143,7 @@ def _signed(df: DataFrame, text: str, key: str, k: int) -> DataFrame:
             node = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())], names=["key", "n", "node", "regs"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {dict(df.dtypes)[key]}, n long, node binary, regs binary")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(tidy(run), f"key {dict(df.dtypes)[key]}, n long, node binary, regs binary")
 
 
 def _keys(classes: DataFrame, similarity: float) -> DataFrame:
@@ -169,10 +169,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
             some = pa.array(e >= least_estimate(similarity, n, m))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), pa.array(e).filter(some)], names=["a", "b", "e"])
 
-    return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a binary, b binary, e double")
+    return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(tidy(run), "a binary, b binary, e double")
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
+def _sets(nodes: DataFrame, docs: DataFrame, text: str, key: str, k: int, held: list[Stage]) -> DataFrame:
     """(node, s): the full sets of nodes, which come with the key of a document. Only those documents are read again."""
     few = bounded(nodes.select(F.col("key").alias("_key"), "node"), nodes.count())
     own = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(few, F.col("_k").eqNullSafe(F.col("_key"))).select("node", "_t")
@@ -184,7 +184,8 @@ def _sets(nodes: DataFrame, docs: DataFrame, text: str, key: str, k: int) -> Dat
             some = pa.array([hashlib.blake2b(s, digest_size=16).digest() == x for s, x in zip(got, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), pa.array(got, pa.binary()).filter(some)], names=["node", "s"])
 
-    return stage(own.mapInArrow(run, "node binary, s binary").dropDuplicates(["node"]), "sets")
+    held.append(Stage(own.mapInArrow(tidy(run), "node binary, s binary").dropDuplicates(["node"]), "sets"))
+    return held[-1].df
 
 
 def _reach(both: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -192,10 +193,11 @@ def _reach(both: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) ->
     return 100 * both >= round(100 * similarity) * (n + m - both)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, k: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, k: int, similarity: float, held: list[Stage]) -> DataFrame:
     """Those pairs whose full sets reach the similarity."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "key"), "node")
-    full = _sets(stage(nodes, "nodes"), docs, text, key, k)
+    held.append(Stage(nodes, "nodes"))
+    full = _sets(held[-1].df, docs, text, key, k, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +207,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
                 some.append(_reach(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(some, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return pairs.select("a", "b").join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -292,7 +294,7 @@ def _contested(keys: DataFrame, comps: DataFrame, classes: DataFrame, similarity
             columns = [pa.concat_arrays([c, pa.array([of[i] for i in nodes], pa.binary())]) for c, of in zip(tied.columns, (node, comp), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([0] * tied.num_rows + [1] * len(nodes), pa.int32()), *columns], names=["kind", "a", "b"])
 
-    return rows.repartition(*by, "cell").sortWithinPartitions(*by, "cell").mapInArrow(run, "kind int, a binary, b binary").distinct()
+    return rows.repartition(*by, "cell").sortWithinPartitions(*by, "cell").mapInArrow(tidy(run), "kind int, a binary, b binary").distinct()
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -322,7 +324,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _linked(nodes: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
+def _linked(nodes: DataFrame, full: DataFrame, similarity: float, held: list[Stage]) -> DataFrame:
     """Links (a, b) between components of one cluster, from (cluster, comp, node) and the nodes' full sets."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +347,8 @@ def _linked(nodes: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
     sums = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / (BLOCK * 3 // 4)).cast("int").alias("parts"))
     rows = nodes.join(sums, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(full, "node")
     rows = rows.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "comp").select("cluster", "part", "comp", "s")
-    blocks = stage(rows.mapInArrow(pack, "cluster binary, comps array<binary>, sets array<binary>").withColumn("b", F.monotonically_increasing_id()), "blocks")
+    held.append(Stage(rows.mapInArrow(tidy(pack), "cluster binary, comps array<binary>, sets array<binary>").withColumn("b", F.monotonically_increasing_id()), "blocks"))
+    blocks = held[-1].df
     ends = blocks.select("cluster", "b")
     pairs = ends.toDF("cluster", "b1").join(ends.toDF("cluster", "b2"), "cluster").where("b1 <= b2").select("b1", "b2")
     own = blocks.select("b", "comps", "sets")
@@ -366,7 +369,13 @@ def _linked(nodes: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
                 if len(x):
                     yield _stars(x, y, list(index))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(tidy(run), "a binary, b binary")
+
+
+def _drop(held: list[Stage]) -> None:
+    """Folders that nothing reads any more go."""
+    while held:
+        held.pop().drop()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -379,29 +388,40 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     others. Extra columns are not read; an empty table gives no rows.
     """
     tune(df.sparkSession)
-    rows = stage(_signed(df, text, key, words), "registers")
-    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
-    keys = _keys(classes, similarity)
-    shared = keys.groupBy("band", "slot").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1").drop("c")
-    keys = stage(keys.join(shared, ["band", "slot"]).select("band", "slot", "node", "centre"), "keys")
-    star = keys.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    near = _estimated(star, classes, similarity).groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
-    links = _verified(stage(near, "pairs"), classes, df, text, key, words, similarity)
+    held: list[Stage] = []
+
+    def staged(of: DataFrame, name: str) -> DataFrame:
+        held.append(Stage(of, name))
+        return held[-1].df
+
+    signed = Stage(_signed(df, text, key, words), "registers")
+    classes = Stage(signed.df.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    rows = stage(signed.df.select("key", "n", "node"), "rows")
+    signed.drop()
+    every = _keys(classes.df, similarity)
+    shared = every.groupBy("band", "slot").agg(F.count("*").alias("c"), F.min("node").alias("centre")).where("c > 1").drop("c")
+    keys = Stage(every.join(shared, ["band", "slot"]).select("band", "slot", "node", "centre"), "keys")
+    star = keys.df.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    near = _estimated(star, classes.df, similarity).groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
+    links = _verified(staged(near, "pairs"), classes.df, df, text, key, words, similarity, held)
     # unlike sets under one key are one document's
     own = rows.where("key is not null and node is not null").groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("m")).where("b <> m")
     twins = rows.join(own.select(F.col("key").alias("_key"), "b"), F.col("key") == F.col("_key")).where("node <> b").select(F.col("node").alias("a"), "b")
-    links = stage(links.unionByName(twins), "links")
-    roots = components(links)
-    comps = stage(classes.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("comp")), "comps")
-    contested = stage(_contested(keys.drop("centre"), comps.select("node", "comp"), classes, similarity), "contested")
+    roots = components(staged(links.unionByName(twins), "links"))
+    comps = Stage(classes.df.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("comp")), "comps").df
+    _drop(held)
+    contested = staged(_contested(keys.df.drop("centre"), comps.select("node", "comp"), classes.df, similarity), "contested")
+    keys.drop()
     clusters = components(contested.where("kind = 0").select("a", "b")).select(F.col("node").alias("comp"), F.col("root").alias("cluster"))
     nodes = contested.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("comp")).join(clusters, "comp")
-    nodes = stage(nodes.join(classes.select("node", "key"), "node").select("cluster", "comp", "node", "key"), "nodes")
-    more = _linked(nodes.drop("key"), _sets(nodes, df, text, key, words), similarity)
-    roots = components(stage(more, "links")).select(F.col("node").alias("comp"), "root")
+    nodes = staged(nodes.join(classes.df.select("node", "key"), "node").select("cluster", "comp", "node", "key"), "nodes")
+    classes.drop()
+    more = staged(_linked(nodes.drop("key"), _sets(nodes, df, text, key, words, held), similarity, held), "links")
+    roots = components(more).select(F.col("node").alias("comp"), "root")
     comps = comps.join(roots, "comp", "left").select("node", "key", F.coalesce("root", "comp").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("key").alias("component_id"))
     of = stage(comps.join(least, "comp").select("node", "component_id"), "components")
+    _drop(held)
     out = rows.select("key", "n", "node").join(of, "node", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("key")).alias("kept"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, texts, tune, unit
+from .common import SPACE, texts, tidy, tune, unit
 from .letters import CHUNK, SPACES, is_letter, layouts, runs
 
 #: Words of a passage.
@@ -253,5 +253,5 @@ def rate(df: DataFrame, model: dict[str, np.ndarray] | None, text: str, keep: li
             got = score(held.value, column) if held.value and column else np.full(len(column), 0.5)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(got, pa.float64())], names=[*(f"k{i}" for i in range(len(keep))), "s"])
 
-    out = rows.mapInArrow(run, ", ".join([*(f"k{i} {types[c]}" for i, c in enumerate(keep)), "s double"]))
+    out = rows.mapInArrow(tidy(run), ", ".join([*(f"k{i} {types[c]}" for i, c in enumerate(keep)), "s double"]))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("s").alias("score"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stage, stage
+from .common import Stage, stage, tidy
 
 #: Ranges at least, records of a range on average beyond that, sample keys for a range, and what counts as overfull.
 RANGES, RANGE_ROWS, SAMPLES, OVERFULL = 1024, 1 << 19, 16, 3.0
@@ -48,7 +48,7 @@ def _place(df: DataFrame, splitters: np.ndarray, column: str) -> DataFrame:
                 out[tied] = np.searchsorted(s, keys[tied], "right")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, column])
 
-    return df.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + f", {column} int")
+    return df.mapInArrow(tidy(run), ", ".join(f"{n} {t}" for n, t in df.dtypes) + f", {column} int")
 
 
 def _drawn(df: DataFrame, rate: float, salt: int) -> list[tuple]:

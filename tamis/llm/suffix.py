@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, tune
+from .common import Stage, tidy, tune
 
 #: Bytes of text in a pack (one longer text is a pack of its own), bytes looked at together, bytes of an anchor.
 PACK, SLICE, GRAM = 2 << 20, 1 << 18, 24
@@ -342,8 +342,8 @@ def _answered(bundles: DataFrame, bits: int, kind: type, answer: Callable) -> Da
     have = min(bits, FAN.bit_length() - 1)
     while have < bits:
         have = min(bits, have + FAN.bit_length() - 1)
-        bundles = bundles.repartition("g").sortWithinPartitions("g").mapInArrow(split(have), BUNDLE)
-    return bundles.repartition("g").sortWithinPartitions("g").mapInArrow(run, "b long, n binary, flag binary")
+        bundles = bundles.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(split(have)), BUNDLE)
+    return bundles.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), "b long, n binary, flag binary")
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
@@ -385,7 +385,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         if held:
             yield one(held, kinds)
 
-    packs = Stage(docs.mapInArrow(pack, "keys binary, starts binary, blob binary, rest binary, size long").withColumn("b", F.monotonically_increasing_id()), "packs").df
+    packs = Stage(docs.mapInArrow(tidy(pack), "keys binary, starts binary, blob binary, rest binary, size long").withColumn("b", F.monotonically_increasing_id()), "packs").df
     total = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bits = (max(GROUPS, -(-total // GROUP_BYTES)) - 1).bit_length()
     first = min(bits, FAN.bit_length() - 1)
@@ -407,7 +407,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         """A pack's answers: each task that gave some gave them in a few rows."""
         return answers.groupBy("b").agg(F.collect_list(F.struct("n", "flag")).alias("got"))
 
-    sent = packs.select("b", "keys", "starts", "blob").mapInArrow(send, BUNDLE)
+    sent = packs.select("b", "keys", "starts", "blob").mapInArrow(tidy(send), BUNDLE)
     judged = Stage(_answered(sent, bits, np.uint64, judge), "judged")
 
     def flags(got: list | None, n: int) -> np.ndarray:
@@ -464,7 +464,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
         yield from deal()
 
     asked = packs.join(gathered(judged.df), "b", "left").select("b", "keys", "starts", "blob", "got")
-    settled = Stage(asked.mapInArrow(settle, "b long, first binary, last binary, place binary, times binary, " + BUNDLE), "settled").df
+    settled = Stage(asked.mapInArrow(tidy(settle), "b long, first binary, last binary, place binary, times binary, " + BUNDLE), "settled").df
     judged.drop()
     found = gathered(_answered(settled.where("g is not null").select("g", "heads", "entries"), bits, np.uint32, later))
     done = packs.join(settled.where("g is null").select("b", "first", "last", "place", "times"), "b").join(found, "b", "left").select("keys", "starts", "blob", "rest", "first", "last", "place", "times", "got")
@@ -494,5 +494,5 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string() if as_text else pa.binary()), strict=True)] + [rest.column(i).slice(at, 500) for i in range(len(keep))], names=["key", "n", "spans", "kept", *(f"k{i}" for i in range(len(keep)))])
 
     more = "".join(f", k{i} {types[c]}" for i, c in enumerate(keep))
-    out = done.mapInArrow(cut_out, "key long, n long, spans array<struct<start:bigint,end:bigint>>, kept " + ("string" if as_text else "binary") + more)
+    out = done.mapInArrow(tidy(cut_out), "key long, n long, spans array<struct<start:bigint,end:bigint>>, kept " + ("string" if as_text else "binary") + more)
     return out.select(F.col("key").cast(types[key]).alias(key), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("n").alias("n_bytes"), "spans", "kept")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, stage, tune
+from .common import components, stage, tidy, tune
 from .vectors import chunks, matrix, takes_part, width
 
 PROJECTIONS, WINDOW, COLLISIONS, FIRST = 16, 2.5, 12, 5.0
@@ -100,8 +100,8 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks().slice(0, 1), pa.array([z.min()]), pa.array([z.max()]), pa.array([t.column(2).to_numpy().tobytes()], pa.binary()), pa.array([t.column(3).to_numpy().tobytes()], pa.binary()), pa.array([b"".join(t.column(4).to_pylist())], pa.binary())], names=["label", "low", "high", "ids", "times", "v"])
 
     kind = dict(rows.dtypes)["label"]
-    sorted_ = classes.select("label", "v", "id", "times").mapInArrow(project, f"label {kind}, z double, id long, times long, v binary").repartitionByRange("label", "z").sortWithinPartitions("label", "z")
-    blocks = stage(sorted_.mapInArrow(pack, f"label {kind}, low double, high double, ids binary, times binary, v binary").withColumn("b", F.monotonically_increasing_id()), "blocks")
+    sorted_ = classes.select("label", "v", "id", "times").mapInArrow(tidy(project), f"label {kind}, z double, id long, times long, v binary").repartitionByRange("label", "z").sortWithinPartitions("label", "z")
+    blocks = stage(sorted_.mapInArrow(tidy(pack), f"label {kind}, low double, high double, ids binary, times binary, v binary").withColumn("b", F.monotonically_increasing_id()), "blocks")
     strip = F.floor((F.row_number().over(Window.partitionBy("label").orderBy("low", "b")) - 1) / STRIP)
     ends = stage(blocks.select("label", "b", "low", "high").withColumn("s", strip), "strips")
     strips = ends.groupBy("label", "s").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -165,7 +165,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
                     n = np.bincount(at, n).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, tree[:, 0]])), pa.array(np.concatenate([n, np.zeros(len(tree), np.int64)])), pa.array(np.concatenate([np.zeros(len(ids), np.int64), tree[:, 1]]), mask=np.arange(len(ids) + len(tree)) < len(ids))], names=["id", "n", "root"])
 
-    found = stage(met.mapInArrow(compare, "id long, n long, root long"), "found")
+    found = stage(met.mapInArrow(tidy(compare), "id long, n long, root long"), "found")
     roots = components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.where("root is null").groupBy("id").agg(F.sum("n").alias("n"))
     summed = classes.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
