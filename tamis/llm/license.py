@@ -1,28 +1,37 @@
-"""License scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
-
-Built from column expressions and joins only. A text's segments (lines and sentences) that mention licensing are weighed
-against each template inside one projection, so nothing is shuffled for the scan; licence files then give their licence
-to the directories below them by joins on directory paths.
+"""License scans: sparse TF-IDF cosine of notices, headers and licence files to templates, then inheritance from the nearest
+ancestor directory.
+
+Built from column expressions and joins only. A text that speaks of licensing has units: its lines and sentences that do, the
+passages that begin like a known header or licence, and, in a licence file, the whole text. Units are rows of words; a join
+with the templates' words gives the products with all templates at once, so neither plan nor work per word grows with their
+number. Texts in several files are weighed once. Licence files then give their licence to the directories below them by joins
+on directory paths.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from importlib import resources
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The licences known, with wordings that notices of them use.
+from .common import stage
+
+#: Wordings that one-line notices of licences use, titles among them.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", "Released under the BSD 3-Clause License.", "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Released into the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
+    "ISC": ["ISC License", "SPDX-License-Identifier: ISC"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "MIT License", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
 _GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {which} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {which} for more details."
@@ -40,17 +49,17 @@ HEADERS = {
     "LGPL-3.0": ["is free software", _GNU.format(what="library", which="Lesser General Public License", version="3")],
     "MIT": ["permission is hereby granted free of charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"],
 }
-#: Titles of licence texts, each as a line or two of its own.
+#: Titles over two lines: the words that open them, and their wordings.
 TITLES = {
-    "Apache-2.0": r"Apache License\s+Version 2\.0, January 2004",
-    "BSD-3-Clause": r"BSD 3-Clause (\"New\" or \"Revised\" )?License",
-    "GPL-2.0": r"GNU GENERAL PUBLIC LICENSE\s+Version 2, June 1991",
-    "GPL-3.0": r"GNU GENERAL PUBLIC LICENSE\s+Version 3, 29 June 2007",
-    "ISC": r"(The )?ISC License",
-    "MIT": r"(The )?MIT License( \(MIT\))?",
-    "MPL-2.0": r"Mozilla Public License,? Version 2\.0",
+    "Apache-2.0": ["apache license version 2.0 january", "Apache License Version 2.0, January 2004"],
+    "GPL-2.0": ["gnu general public license version 2 june", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["gnu general public license version 3 29", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": ["gnu lesser general public license version 2.1 february", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": ["gnu lesser general public license version 3 29", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "MPL-2.0": ["mozilla public license version 2.0 1 definitions", "Mozilla Public License Version 2.0 1. Definitions"],
 }
-OPENING = r"(?i)hereby\s+granted|redistribution\s+and\s+use|free\s+software|under\s+the\s+apache|permission\s+to\s+use"
+#: What a text with the openings above matches.
+OPENING = r"(?i)hereby\s+granted|redistribution\s+and\s+use|free\s+software|under\s+the\s+apache|permission\s+to\s+use|apache\s+license|general\s+public\s+license|mozilla\s+public\s+license"
 #: A segment is looked at if it matches MENTION; its cosine must reach THRESHOLD.
 MENTION = r"(?i)licen[sc]|copyright|spdx|\bcc0?\b|public domain|creative commons"
 THRESHOLD = 0.75
@@ -60,11 +69,23 @@ WORDS = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
 def words(text: str) -> list[str]:
-    import re
-
     return re.findall(WORDS, text.lower())
 
 
+def headers() -> list[tuple[str, str, str]]:
+    """(licence, opening, wording) of headers, bodies and titles."""
+    return [(name, opening, text) for table in (HEADERS, TITLES) for name, (opening, text) in table.items()]
+
+
+def licence_texts() -> dict[str, list[str]]:
+    """Whole texts of licences: the files beside this module, named by licence, and the bodies among HEADERS."""
+    folder = resources.files(__package__) / "licences"
+    out = {f.name.removesuffix(".txt"): [f.read_text(encoding="utf-8")] for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT"):
+        out.setdefault(name, []).append(HEADERS[name][1])
+    return out
+
+
 def weights(templates: dict[str, list[str]]) -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
     """Inverse document frequency of the templates' words, that of any other word, and unit vectors by wording."""
     texts = [(name, Counter(words(t))) for name in sorted(templates) for t in templates[name]]
@@ -78,76 +99,93 @@ def weights(templates: dict[str, list[str]]) -> tuple[dict[str, float], float, l
     return idf, math.log(1 + n) + 1, vectors
 
 
-def _sum(tokens: Column, table: Column) -> Column:
-    return F.aggregate(tokens, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(table, w), F.lit(0.0)))
-
-
-def _best(tokens: Column, templates: dict[str, list[str]]) -> Column:
-    """struct(score, license) of the template nearest to a segment's words; ties go to the smaller name."""
-    idf, other, vectors = weights(templates)
-    table = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)])
-    weight = lambda w: F.coalesce(F.element_at(table, w), F.lit(other))
-    # the sorted words' runs give the counts, their squares the length
-    zero = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
-    run = lambda a, w: F.when(a["w"] == w, F.struct(w.alias("w"), (a["c"] + weight(w)).alias("c"), a["s"].alias("s"))).otherwise(F.struct(w.alias("w"), weight(w).alias("c"), (a["s"] + a["c"] * a["c"]).alias("s")))
-    length = F.sqrt(F.aggregate(F.array_sort(tokens), zero, run, lambda a: a["s"] + a["c"] * a["c"]))
-    # a word of count c adds c * idf * its weight: each occurrence adds once
-    names = sorted({name for name, _ in vectors})
-    scores = []
-    for name in names:
-        dots = []
-        for v in (v for n, v in vectors if n == name):
-            dots.append(_sum(tokens, F.create_map(*[F.lit(x) for w, k in v.items() for x in (w, k * idf[w])])))
-        scores.append(F.struct(F.round(F.greatest(*dots) / length if len(dots) > 1 else dots[0] / length, 9).alias("score"), F.lit(name).alias("license")))
-    # the first of the greatest, in order of name
-    return F.aggregate(F.array(*scores[1:]), scores[0], lambda a, s: F.when(s["score"] > a["score"], s).otherwise(a)) if len(scores) > 1 else scores[0]
-
-
-def _headers(text: Column) -> Column:
-    """struct(score, license) of the licence text or header in a text that is nearest to one of HEADERS or has a title; null if none is."""
-    templates = {name: [t] for name, (_, t) in HEADERS.items()}
-    spoken = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), " ")
-    # windows of a wording's length from the words that open it: how lines are broken or marked as comments makes no difference
-    spans = sorted({(opening, len(words(t)) - len(opening.split(" "))) for opening, t in HEADERS.values()})
-    windows = F.array_distinct(F.concat(*[F.regexp_extract_all(spoken, F.lit(rf"(?:this \w+ )?{opening.replace('.', '[.]')}(?: \S+){{0,{n}}}"), F.lit(0)) for opening, n in spans]))
-    near = F.filter(F.transform(windows, lambda w: F.transform(F.array(F.split(w, " ")), lambda t: _best(t, templates))[0]), lambda s: s["score"] >= THRESHOLD)
-    near = F.when(text.rlike(OPENING), near).otherwise(F.array().cast("array<struct<score:double,license:string>>"))
-    titles = [F.when(text.rlike(rf"(?im)^\W*{t}\W*$"), F.struct(F.lit(1.0).alias("score"), F.lit(name).alias("license"))) for name, t in TITLES.items()]
-    every = F.filter(F.concat(near, F.array(*titles)), lambda s: s.isNotNull())
-    return F.aggregate(every, F.lit(None).cast("struct<score:double,license:string>"), lambda a, s: F.when(a.isNull() | (s["score"] > a["score"]) | ((s["score"] == a["score"]) & (s["license"] < a["license"])), s).otherwise(a))
+def kinds(templates: dict[str, list[str]] | None = None) -> dict[str, tuple]:
+    """Weights of the templates of each kind of unit: line, window, file."""
+    spoken: dict[str, list[str]] = {}
+    for name, _, text in headers():
+        spoken.setdefault(name, []).append(text)
+    return {"line": weights(TEMPLATES if templates is None else templates), "window": weights(spoken), "file": weights(licence_texts())}
+
+
+def windows() -> list[str]:
+    """Patterns of passages, in words joined by spaces, that begin as a header does and are as long: how lines are broken or
+    marked as comments makes no difference."""
+    spans = sorted({(opening, len(words(t)) - len(opening.split(" "))) for _, opening, t in headers()})
+    return [rf"(?:this \w+ )?{opening.replace('.', '[.]')}(?: \S+){{0,{n}}}" for opening, n in spans]
+
+
+def _spoken(text: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), " ")
+
+
+def _units(text: Column, is_file: Column) -> Column:
+    """array<struct<kind, words>> of a text."""
+    unit = lambda kind: lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("words"))
+    segments = F.filter(F.split(text, r"\n|(?<=[.!;])\s+"), lambda s: s.rlike(MENTION))
+    lines = F.transform(F.transform(segments, _spoken), unit("line"))
+    # the text's words once, for the windows and the whole
+    long = F.filter(F.array(F.when(is_file | text.rlike(OPENING), _spoken(text))), lambda x: x.isNotNull())
+    found = F.flatten(F.transform(long, lambda x: F.concat(*[F.regexp_extract_all(x, F.lit(w), F.lit(0)) for w in windows()])))
+    whole = F.filter(F.transform(long, unit("file")), lambda _: is_file)
+    return F.array_distinct(F.filter(F.concat(lines, F.transform(found, unit("window")), whole), lambda u: u["words"] != ""))
+
+
+def vocabulary(spark: SparkSession, by_kind: dict[str, tuple]) -> DataFrame:
+    """(kind, w, idf, entries): each word of the templates of a kind, with its weights in them. As many rows as those have
+    different words, so small enough to broadcast."""
+    rows = []
+    for kind, (idf, _, vectors) in by_kind.items():
+        entries: dict[str, list] = {}
+        for t, (name, v) in enumerate(vectors):
+            for w, x in v.items():
+                entries.setdefault(w, []).append((t, name, x))
+        rows += [(kind, w, idf[w], e) for w, e in entries.items()]
+    return spark.createDataFrame(rows, "kind string, w string, idf double, entries array<struct<t:int,name:string,x:double>>")
+
+
+def _scored(units: DataFrame, by_kind: dict[str, tuple]) -> DataFrame:
+    """(id, s, l): the best template of each text whose cosine reaches the threshold, s its cosine below zero."""
+    tf = units.select("id", "u", "kind", F.explode(F.split("words", " ")).alias("w")).groupBy("id", "u", "kind", "w").agg(F.count("*").alias("k"))
+    met = tf.join(F.broadcast(vocabulary(units.sparkSession, by_kind)), ["kind", "w"], "left")
+    other = F.coalesce(*[F.when(F.col("kind") == kind, other) for kind, (_, other, _) in by_kind.items()])
+    sizes = met.groupBy("id", "u").agg(F.sqrt(F.sum(F.pow(F.col("k") * F.coalesce("idf", other), 2))).alias("size"))
+    each = met.where("idf is not null").select("id", "u", (F.col("k") * F.col("idf")).alias("v"), F.explode("entries").alias("e"))
+    dots = each.groupBy("id", "u", F.col("e.t").alias("t"), F.col("e.name").alias("name")).agg(F.sum(F.col("v") * F.col("e.x")).alias("dot"))
+    scores = dots.join(sizes, ["id", "u"]).select("id", F.round(F.col("dot") / F.col("size"), 9).alias("score"), "name").where(F.col("score") >= THRESHOLD)
+    return scores.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("name").alias("l"))).alias("b")).select("id", "b.s", "b.l")
 
 
 def scan(df: DataFrame, text: str = "text", path: str = "path", key: str = "doc_id", templates: dict[str, list[str]] | None = None) -> DataFrame:
     """(key, path, license, score, basis, license_path) for each row.
 
-    basis is `notice` if the text itself has a segment near enough to a template (license and score are the best, ties to the
-    smaller name) or, where none is, a licence text, header or title of HEADERS and TITLES, judged alike; else `inherited` if a licence file (by its name) with a notice lies in the row's directory or the nearest
-    one above that has any (of several there the best score, then the smaller path), else `none` with null license and
-    score 0. A null path is a file of no directory: it inherits nothing. A null or empty text has no notice. Texts are read
-    whole. Repeated rows are judged alike; extra columns are not read; an empty table gives no rows.
+    basis is `notice` if the text itself has a unit near enough to a template: a line or sentence, a passage that begins as
+    a header, a licence or its title does, or, in a licence file (by its name), the whole text. License and score are the best
+    of all, ties to the smaller name. Else it is `inherited` if a licence file with such a unit lies in the row's directory or the
+    nearest one above that has any (of several there the best score, then the smaller path), else `none` with null license and
+    score 0. A null path is a file of no directory: it inherits nothing. A null or empty text has no units. Texts are read
+    whole. Repeated rows are judged alike; extra columns are not read; an empty table gives no rows. templates: other notices.
     """
-    templates = TEMPLATES if templates is None else templates
-    segments = F.filter(F.split(F.col(text), r"\n|(?<=[.!;])\s+"), lambda s: s.rlike(MENTION))
-    rows = df.select(F.col(key).alias("key"), F.col(path).alias("path"), segments.alias("segments"), F.when(F.col(text).rlike(MENTION + "|" + OPENING[4:]), F.col(text)).alias("_text"))
-    # rows without a mention, most of them, skip the weighing
-    found = F.transform(F.col("segments"), lambda s: F.transform(F.array(F.regexp_extract_all(F.lower(s), F.lit(WORDS), F.lit(0))), lambda t: F.when(F.size(t) > 0, _best(t, templates)))[0])
-    top = F.aggregate(found, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("license")), lambda a, s: F.when((s["score"] > a["score"]) | ((s["score"] == a["score"]) & (s["license"] < a["license"])), s).otherwise(a))
-    rows = rows.withColumn("own", F.when(F.size("segments") > 0, top))
-    rows = rows.select("key", "path", F.when(F.col("own.score") >= THRESHOLD, F.col("own")).when(F.col("_text").isNotNull(), _headers(F.col("_text"))).alias("own"), F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))).alias("dir"))
-    files = rows.where(F.col("path").rlike(LICENCE_FILE) & F.col("own").isNotNull())
-    best = files.groupBy("dir").agg(F.min(F.struct((-F.col("own.score")).alias("s"), F.col("path").alias("p"), F.col("own.license").alias("l"))).alias("b")).select(F.col("dir").alias("at"), "b")
+    t, is_file = F.col(text), F.coalesce(F.col(path).rlike(LICENCE_FILE), F.lit(False))
+    speaks = t.rlike(f"{MENTION}|{OPENING[4:]}")
+    mark = F.concat(F.md5(t.cast("binary")), F.when(is_file, "f").otherwise("t"))
+    rows = stage(df.select(F.col(key).alias("key"), F.col(path).alias("path"), is_file.alias("is_file"), F.when(speaks, F.struct(mark.alias("id"), _units(t, is_file).alias("units"))).alias("said")), "notices")
+    units = rows.where("size(said.units) > 0").select(F.col("said.id").alias("id"), F.posexplode("said.units").alias("u", "unit")).select("id", "u", "unit.kind", "unit.words").distinct()
+    best = _scored(units, kinds(templates)).withColumnRenamed("id", "_id")
+    rows = rows.select("key", "path", "is_file", F.col("said.id").alias("id"), F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))).alias("dir"))
+    rows = stage(rows.join(best, F.col("id") == F.col("_id"), "left").select("key", "path", "is_file", "dir", "s", "l"), "own")
+    files = rows.where("is_file and l is not null").groupBy("dir").agg(F.min(F.struct("s", F.col("path").alias("p"), "l")).alias("b")).select(F.col("dir").alias("at"), "b")
     # each directory with files meets those above it, nearest first; files then meet their directory
     dirs = rows.where("dir is not null").select("dir").distinct()
     steps = F.split("dir", "/")
     above = F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("at")))).otherwise(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("at"))))
-    given = dirs.select("dir", F.explode(above).alias("a")).select("dir", "a.*").join(best, "at").groupBy("dir").agg(F.max_by("b", "depth").alias("b")).withColumnRenamed("dir", "_dir")
+    given = dirs.select("dir", F.explode(above).alias("a")).select("dir", "a.*").join(files, "at").groupBy("dir").agg(F.max_by("b", "depth").alias("b")).withColumnRenamed("dir", "_dir")
     out = rows.join(given, F.col("dir") == F.col("_dir"), "left")
-    has = F.col("own").isNotNull()
+    has = F.col("l").isNotNull()
     return out.select(
         F.col("key").alias(key),
         F.col("path").alias(path),
-        F.when(has, F.col("own.license")).otherwise(F.col("b.l")).alias("license"),
-        F.when(has, F.col("own.score")).otherwise(F.coalesce(-F.col("b.s"), F.lit(0.0))).alias("score"),
+        F.when(has, F.col("l")).otherwise(F.col("b.l")).alias("license"),
+        F.when(has, -F.col("s")).otherwise(F.coalesce(-F.col("b.s"), F.lit(0.0))).alias("score"),
         F.when(has, "notice").when(F.col("b").isNotNull(), "inherited").otherwise("none").alias("basis"),
         F.when(has, F.col("path")).otherwise(F.col("b.p")).alias("license_path"),
     )

@@ -94,20 +94,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def license_sql() -> str:
     """op8 for DuckDB, with the templates' weights as values."""
-    idf, other, vectors = license.weights(license.TEMPLATES)
-    weights = ", ".join(f"('{w}', {v!r}::double)" for w, v in idf.items())
-    templates = ", ".join(f"({i}, '{name}', '{w}', {x!r}::double)" for i, (name, v) in enumerate(vectors) for w, x in v.items())
+    by_kind = license.kinds()
+    weights = ", ".join(f"('{kind}', '{w}', {v!r}::double)" for kind, (idf, _, _) in by_kind.items() for w, v in idf.items())
+    templates = ", ".join(f"('{kind}', {i}, '{name}', '{w}', {x!r}::double)" for kind, (_, _, vectors) in by_kind.items() for i, (name, v) in enumerate(vectors) for w, x in v.items())
+    other = ", ".join(f"('{kind}', {o!r}::double)" for kind, (_, o, _) in by_kind.items())
+    passages = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(words, '{w}')) AS words FROM whole" for w in license.windows())
     dirs = "[coalesce(source, 'unknown'), CAST(doc_id // 10000 AS varchar), CAST(doc_id // 1000 AS varchar), CAST(doc_id // 100 AS varchar)]"
-    return rf"""WITH idf(w, v) AS (VALUES {weights}), template(t, name, w, x) AS (VALUES {templates}),
+    return rf"""WITH idf(kind, w, v) AS (VALUES {weights}), template(kind, t, name, w, x) AS (VALUES {templates}), other(kind, o) AS (VALUES {other}),
 files AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN array_to_string(list_slice({dirs}, 1, doc_id // 10 % 4 + 1), '/') || '/LICENSE-' || doc_id
   ELSE array_to_string({dirs}, '/') || '/' || doc_id || '.txt' END AS path FROM documents),
-segment AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!;])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM files),
-mention AS (SELECT doc_id, row_number() OVER () AS n, s FROM segment WHERE regexp_matches(s, '{license.MENTION}')),
-word AS (SELECT doc_id, n, unnest(regexp_extract_all(lower(s), '{license.WORDS}')) AS w FROM mention),
-tf AS (SELECT doc_id, n, w, count(*) AS k FROM word GROUP BY doc_id, n, w),
-length AS (SELECT doc_id, n, sqrt(sum((k * coalesce(v, {other!r})) ** 2)) AS size FROM tf LEFT JOIN idf USING (w) GROUP BY doc_id, n),
-dot AS (SELECT doc_id, n, t, name, sum(k * v * x) AS d FROM tf JOIN idf USING (w) JOIN template USING (w) GROUP BY doc_id, n, t, name),
-score AS (SELECT doc_id, name, round(d / size, 9) AS score FROM dot JOIN length USING (doc_id, n)),
+spoken AS (SELECT * FROM files WHERE regexp_matches(text, '{license.MENTION}|{license.OPENING[4:]}')),
+segment AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!;])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM spoken),
+whole AS (SELECT doc_id, regexp_matches(path, '{license.LICENCE_FILE}') AS is_file, array_to_string(regexp_extract_all(lower(text), '{license.WORDS}'), ' ') AS words FROM spoken WHERE regexp_matches(path, '{license.LICENCE_FILE}') OR regexp_matches(text, '{license.OPENING}')),
+unit AS (SELECT doc_id, 'line' AS kind, array_to_string(regexp_extract_all(lower(s), '{license.WORDS}'), ' ') AS words FROM segment WHERE regexp_matches(s, '{license.MENTION}')
+  UNION ALL SELECT doc_id, 'file', words FROM whole WHERE is_file UNION ALL SELECT doc_id, 'window', words FROM ({passages}) q),
+word AS (SELECT doc_id, kind, n, unnest(string_split(words, ' ')) AS w FROM (SELECT *, row_number() OVER () AS n FROM unit WHERE words <> '') q),
+tf AS (SELECT doc_id, kind, n, w, count(*) AS k FROM word GROUP BY doc_id, kind, n, w),
+length AS (SELECT n, sqrt(sum((k * coalesce(v, o)) ** 2)) AS size FROM tf JOIN other USING (kind) LEFT JOIN idf USING (kind, w) GROUP BY n),
+dot AS (SELECT doc_id, n, kind, t, name, sum(k * v * x) AS d FROM tf JOIN idf USING (kind, w) JOIN template USING (kind, w) GROUP BY doc_id, n, kind, t, name),
+score AS (SELECT doc_id, name, round(d / size, 9) AS score FROM dot JOIN length USING (n)),
 best AS (SELECT doc_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS r FROM score) q WHERE r = 1 AND score >= {license.THRESHOLD}),
 file AS (SELECT files.doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, name, score FROM files LEFT JOIN best USING (doc_id)),
 given AS (SELECT dir AS up, path AS p, name AS l, score AS s FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, name) AS r FROM file WHERE name IS NOT NULL AND regexp_matches(path, '{license.LICENCE_FILE}')) q WHERE r = 1),

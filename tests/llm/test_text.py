@@ -661,13 +661,15 @@ def test_licence_scores(spark):
 
 
 def test_licence_texts(spark):
-    """Titles, headers and licence texts over several lines, wrapped anew and marked as comments."""
+    """Headers and bodies over several lines, wrapped anew and marked as comments; titles; licence files as a whole."""
     import textwrap
 
-    rows = [(name, "int x;\n" + "\n".join(f" * {line}" for line in textwrap.wrap(t, 50)) + "\nother code") for name, (_, t) in license.HEADERS.items()]
-    rows += [("MIT", "MIT License\n\nCopyright (c) 2020 A"), ("GPL-3.0", "   GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n"), ("none", "I like the MIT license of this, and free software is good."), ("none", "Redistribution and use of water.")]
-    got = license.scan(spark.createDataFrame([(i, t, None) for i, (_, t) in enumerate(rows)], "doc_id int, text string, path string")).collect()
-    assert [(r.license or "none") for r in sorted(got, key=lambda r: r.doc_id)] == [name for name, _ in rows]
+    rows = [(name, "int x;\n" + "\n".join(f" * {line}" for line in textwrap.wrap(t, 50)) + "\nother code", None) for name, _, t in license.headers()]
+    rows += [("MIT", "MIT License\n\nCopyright (c) 2020 A", None), ("GPL-3.0", "   GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n", None), ("none", "I like the MIT license of this, and free software is good.", None), ("none", "Redistribution and use of water.", None)]
+    rows += [(name, "Copyright 2021 Somebody\n\n" + texts[0].replace("\n\n", "\n"), f"p{name}/LICENSE") for name, texts in license.licence_texts().items()]
+    got = license.scan(spark.createDataFrame([(i, t, p) for i, (_, t, p) in enumerate(rows)], "doc_id int, text string, path string")).collect()
+    assert [(r.license or "none") for r in sorted(got, key=lambda r: r.doc_id)] == [name for name, _, _ in rows]
+    assert len(license.licence_texts()) == 11 and all(re.search(license.MENTION, t) for texts in license.licence_texts().values() for t in texts)
 
 
 def test_licences_edges(empty, nulls):
