@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +61,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what is staged by now. Executors keep those until the driver's JVM has collected what
+    refers to them, which it may not do for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stage:
     """A DataFrame written as Parquet to the shared folder and read again: its lineage is cut there."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, bounded, components, stage, tidy, tune
+from .common import Stage, bounded, components, release, stage, tidy, tune
 from .letters import SPACES, runs
 
 REGISTERS, MANTISSA, BANDS = 128, 10, 32
@@ -373,9 +373,11 @@ def _linked(nodes: DataFrame, full: DataFrame, similarity: float, held: list[Sta
 
 
 def _drop(held: list[Stage]) -> None:
-    """Folders that nothing reads any more go."""
+    """Folders that nothing reads any more go, and shuffle files with them."""
+    spark = held[-1].spark
     while held:
         held.pop().drop()
+    release(spark)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:

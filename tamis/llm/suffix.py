@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, tidy, tune
+from .common import Stage, release, tidy, tune
 
 #: Bytes of text in a pack (one longer text is a pack of its own), bytes looked at together, bytes of an anchor.
 PACK, SLICE, GRAM = 2 << 20, 1 << 18, 24
@@ -409,6 +409,8 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
 
     sent = packs.select("b", "keys", "starts", "blob").mapInArrow(tidy(send), BUNDLE)
     judged = Stage(_answered(sent, bits, np.uint64, judge), "judged")
+    del sent
+    release(spark)
 
     def flags(got: list | None, n: int) -> np.ndarray:
         out = np.zeros(n, np.uint8)
@@ -466,6 +468,8 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", length: int =
     asked = packs.join(gathered(judged.df), "b", "left").select("b", "keys", "starts", "blob", "got")
     settled = Stage(asked.mapInArrow(tidy(settle), "b long, first binary, last binary, place binary, times binary, " + BUNDLE), "settled").df
     judged.drop()
+    del asked
+    release(spark)
     found = gathered(_answered(settled.where("g is not null").select("g", "heads", "entries"), bits, np.uint32, later))
     done = packs.join(settled.where("g is null").select("b", "first", "last", "place", "times"), "b").join(found, "b", "left").select("keys", "starts", "blob", "rest", "first", "last", "place", "times", "got")
 
