@@ -179,7 +179,7 @@ def test_registered():
 
 
 def test_sql(spark):
-    """op8 and op9 against their SQL, on a table with licence files and links."""
+    """What has SQL gives the same rows, on tables with copies, repeats, licence files and links."""
     import duckdb
 
     where = "/root/testdata/sf0.01"
