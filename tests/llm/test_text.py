@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -724,6 +725,54 @@ def test_bpe_small_cache(docs, public, monkeypatch):
         assert list(np.frombuffer(t.encode(text)[0], "<u4")) == public.encode(text, add_special_tokens=False).ids
 
 
+def test_merges_together():
+    """Sequences merged at once are those merged one at a time, rows that end sooner or hold nothing among them."""
+    rng = random.Random(4)
+    pairs = {a << 32 | b: (rng.randint(0, 40) * 100 + a * 6 + b, rng.randint(0, 5)) for a in range(6) for b in range(6) if rng.random() < 0.6}
+    for width in (2, 4, 16, 64):
+        rows = [[rng.randint(0, 5) for _ in range(rng.randint(0, width))] for _ in range(200)]
+        got = bpe.Pairs(pairs).merge(np.array([r + [-1] * (width - len(r)) for r in rows]))
+        assert [[x for x in r if x >= 0] for r in got.tolist()] == [bpe.merge(r, pairs) for r in rows]
+
+
+def test_bpe_new_words_in_less_time_than_their_merges():
+    """Most words of a large table are met once: to merge them one at a time, 40 microseconds each, was most of the pipeline's
+    last stage."""
+    t = bpe.Tokenizer(open(queries.vocabulary(), encoding="utf-8").read())
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdluetaoin", k=10)) for _ in range(20_000)]
+    rows = [[t.vocab[x] for x in w[:-1]] + [t.vocab[w[-1] + t.end]] for w in words]
+    began = time.process_time()
+    want = [bpe.merge(r, t.pairs) for r in rows]
+    alone = time.process_time() - began
+    text = " ".join(words)
+    began = time.process_time()
+    got = t.encode(text)[0]
+    assert time.process_time() - began < 0.7 * alone
+    assert list(np.frombuffer(got, "<u4")) == [i for r in want for i in r]
+
+
+def test_bpe_copies_once():
+    """Equal texts that come together, such as the copies that a mixture takes, are encoded once."""
+    t = bpe.Tokenizer(open(queries.vocabulary(), encoding="utf-8").read())
+    seen, normal = [], t.normal
+    t.normal = lambda text: normal(seen.append(text) or text)
+    got = t.encode_all(["one two", "three", "one two", "", "three", "one two"])
+    assert seen.count("one two") == seen.count("three") == 1
+    assert got == [t.encode(x) for x in ("one two", "three", "one two", "", "three", "one two")]
+
+
+def test_bpe_words(public):
+    """Words without white space, of any length, with separators that are none, and like a special token in capitals; also when
+    little is kept or merged together."""
+    t = bpe.Tokenizer(open(queries.vocabulary(), encoding="utf-8").read())
+    texts = ["x\x1cy\x1d z\x1f", "<|ENDOFTEXT|> <|endoftext|>a", "don't''s " * 40, "don't''s" * 40, "漢" * 64 + " " + "漢" * 65, "q" * 64 + "1" + "q" * 65, "é" * 32 + "\u2003" + "é" * 33, "ab" * 3000 + "'s", " \x85 ", "", "a b"]
+    for got, text in zip(t.encode_all(texts), texts, strict=True):
+        want = public.encode(text, add_special_tokens=False).ids
+        assert list(np.frombuffer(got[0], "<u4")) == want and got[1] == public.decode(want, skip_special_tokens=False)
+    assert max(len(w) for w in t.ids if isinstance(w, str)) <= bpe.LONG
+
+
 def test_bpe_edges(empty, nulls):
     assert bpe.encode(empty, queries.vocabulary(), keep=["doc_id", "n"]).count() == 0
     got = bpe.encode(nulls, queries.vocabulary(), keep=["doc_id", "n"]).collect()
